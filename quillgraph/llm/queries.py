@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, language_id, quality_rules, substring_dedup, token_counts
+from quillgraph.llm import decontaminate, language_id, mixing, quality_rules, substring_dedup, token_counts
 from quillgraph.llm.common import crc_mod, docs_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, ratios)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs_of(spark, sf_dir))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs_of(spark, sf_dir)
     model = language_id.fit(docs, crc_mod(F.col("i"), 4) != 2)
@@ -42,6 +46,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
     "op10_decontaminate": op10_decontaminate,
 }
