@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, language_id, mixing, quality_rules, substring_dedup, token_counts
+from quillgraph.llm import decontaminate, language_id, mixing, quality_rules, secret_scan, substring_dedup, token_counts
 from quillgraph.llm.common import crc_mod, docs_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(marked, model, keep=["doc_id", "held_out"], score_out="score")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = docs_of(spark, sf_dir)
+    return secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_samples(docs)))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(docs_of(spark, sf_dir), docs_of(spark, sf_dir, "benchmark"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
+    "op7_secret_scan": op7_secret_scan,
     "op10_decontaminate": op10_decontaminate,
 }
 
