@@ -153,3 +153,26 @@ def crc_mod(column: Column, modulus: int) -> Column:
 
 def docs_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def attach(docs: DataFrame, facts: DataFrame, id_col: str, text_col: str, names: list[str], how: str = "left") -> DataFrame:
+    """``docs`` with the columns ``names`` of ``facts``, which is keyed by id and text_key.
+
+    ``id`` and ``text_key`` (a hash of the text) tell rows apart even where ids
+    repeat; columns come under ``__qg_`` names, so they clash with none.
+    """
+    own = facts.select(F.col("id").alias("__qg_id"), F.col("text_key").alias("__qg_text_key"), *[F.col(n).alias(f"__qg_{n}") for n in names])
+    keyed = docs.withColumn("__qg_key", F.xxhash64(F.col(f"`{text_col}`")))
+    joined = keyed.join(own, (keyed[f"`{id_col}`"] == own["__qg_id"]) & (keyed["__qg_key"] == own["__qg_text_key"]), how)
+    return joined.drop("__qg_key", "__qg_id", "__qg_text_key")
+
+
+def with_text(batch: pa.RecordBatch, text_col: str, texts: list, length_col: str | None) -> pa.RecordBatch:
+    """The batch with new texts; an integer ``length_col`` is counted anew where it was not null."""
+    at = batch.schema.get_field_index(text_col)
+    batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+    k = batch.schema.get_field_index(length_col) if length_col else -1
+    if k >= 0 and pa.types.is_integer(batch.schema.field(k).type):
+        new = [o if t is None or o is None else len(t) for t, o in zip(texts, batch.column(k).to_pylist(), strict=True)]
+        batch = batch.set_column(k, batch.schema.field(k), pa.array(new, batch.schema.field(k).type))
+    return batch

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import column, map_batches, record
+from quillgraph.llm.common import column, map_batches, record, with_text
 
 WINDOW = 13
 COVERAGE_PERCENT = 5
@@ -240,8 +240,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int
         automata = [ItemAutomaton(p.value, window) for p in parts]
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            at = batch.schema.get_field_index(text_col)
-            texts, keep, changed = batch.column(at).to_pylist(), [], False
+            texts, keep, changed = column(batch, text_col), [], False
             for i, text in enumerate(texts):
                 words = normal_words(text)
                 spans, _ = _united(automata, words)
@@ -251,14 +250,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int
                 if spans and not gone:
                     texts[i], changed = cut(text, spans), True
             if changed:
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-                if count:
-                    k = batch.schema.get_field_index(count)
-                    kind = batch.schema.field(k).type
-                    if pa.types.is_integer(kind):
-                        old = batch.column(k).to_pylist()
-                        new = [len(t) if t is not None and o is not None else o for t, o in zip(texts, old, strict=True)]
-                        batch = batch.set_column(k, batch.schema.field(k), pa.array(new, kind))
+                batch = with_text(batch, text_col, texts, count)
             return batch.filter(pa.array(keep, pa.bool_()))
 
         return work

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, language_id, mixing, quality_rules, secret_scan, substring_dedup, token_counts
+from quillgraph.llm import decontaminate, language_id, line_dedup, mixing, quality_rules, secret_scan, substring_dedup, token_counts
 from quillgraph.llm.common import crc_mod, docs_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_samples(docs)))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(docs_of(spark, sf_dir))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(docs_of(spark, sf_dir), docs_of(spark, sf_dir, "benchmark"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
     "op7_secret_scan": op7_secret_scan,
+    "op8_line_dedup": op8_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 
