@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, language_id, line_dedup, mixing, quality_rules, secret_scan, substring_dedup, token_counts
+from quillgraph.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, token_counts
 from quillgraph.llm.common import crc_mod, docs_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(docs_of(spark, sf_dir))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.class_report(docs_of(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs_of(spark, sf_dir)
     ratios = quality_rules.log_ratios(docs, quality_rules.target_ids(docs_of(spark, sf_dir, "labels")))
@@ -54,6 +58,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_ngram_join": op3_ngram_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
