@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import column, map_batches, record
+from quillgraph.llm.common import column, map_batches
 
 ORDER = 3
 DOCS_PER_LANG = 400

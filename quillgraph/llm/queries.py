@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, token_counts
+from quillgraph.llm import decontaminate, language_id, line_crf, line_dedup, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, token_counts
 from quillgraph.llm.common import crc_mod, docs_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(docs_of(spark, sf_dir))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = docs_of(spark, sf_dir)
+    field = line_crf.fit(docs, docs_of(spark, sf_dir, "labels"), crc_mod(F.col("id"), 5) != 0)
+    marked = docs.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
+    return line_crf.score(marked, field, keep=["doc_id", "held_out"])
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(docs_of(spark, sf_dir), docs_of(spark, sf_dir, "benchmark"))
 
@@ -64,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op6_language_id": op6_language_id,
     "op7_secret_scan": op7_secret_scan,
     "op8_line_dedup": op8_line_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_decontaminate": op10_decontaminate,
 }
 
