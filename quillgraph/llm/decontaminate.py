@@ -225,13 +225,14 @@ def _united(automata: list[ItemAutomaton], words: list[bytes]) -> tuple[list[tup
     return spans, names
 
 
-def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = COVERAGE_PERCENT, max_span: int = 2 * WINDOW, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = COVERAGE_PERCENT, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """Documents without contaminated ones; in the others, hit spans are cut out of the text.
 
-    A document goes when its hit words reach ``percent`` of its words, or when
-    one hit span is longer than ``max_span`` words (the length limit).  Other
-    hit spans are removed together with the punctuation inside them.  All columns
-    stay; ``length_col``, if there, is counted anew for texts that changed.
+    A document goes when its hit words reach ``percent`` of its words (the limit
+    on coverage).  From the others every span of ``window`` words or more that
+    items hold (the limit on length), or of a whole shorter item, is removed
+    together with the punctuation inside it.  All columns stay; ``length_col``,
+    if there, is counted anew for texts that changed.
     """
     parts = _scan_all(docs, items, window)
     count = length_col if length_col in docs.columns else None
@@ -245,7 +246,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int
                 words = normal_words(text)
                 spans, _ = _united(automata, words)
                 n_hit = sum(b - a for a, b in spans)
-                gone = n_hit > 0 and (100 * n_hit >= percent * len(words) or max(b - a for a, b in spans) > max_span)
+                gone = n_hit > 0 and 100 * n_hit >= percent * len(words)
                 keep.append(not gone)
                 if spans and not gone:
                     texts[i], changed = cut(text, spans), True

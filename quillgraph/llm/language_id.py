@@ -196,3 +196,9 @@ def predict(docs: DataFrame, model: PpmModel, text_col: str = "text", keep: list
         return work
 
     return map_batches(slim, make, schema)
+
+
+def keep_known(docs: DataFrame, model: PpmModel, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents whose language is known with at least ``min_score``; columns as before."""
+    found = predict(docs, model, text_col, lang_out="__qg_lang", score_out="__qg_score")
+    return found.filter((F.col("__qg_lang") != UNKNOWN) & (F.col("__qg_score") >= min_score)).drop("__qg_lang", "__qg_score")
