@@ -87,7 +87,7 @@ def search(corpus: Corpus, query: str, query_vector: list[float] | None, limit:
         out = out.join(level, "doc_id", "left")
     state = F.coalesce("staleness", F.lit("fresh")) if level is not None else F.lit("fresh")
     parts = F.struct(F.col("vec").alias("vector"), F.col("prox").alias("graph"))
-    return out.select("doc_id", "title", "filepath", "doc_type", "score", parts.alias("score_breakdown"), reason().alias("relevance_reason"), state.alias("staleness"), sections.alias("sections"), F.lit("hybrid").alias("search_type"))
+    return out.orderBy(F.desc(F.round("score", 12)), "doc_id").select("doc_id", "title", "filepath", "doc_type", "score", parts.alias("score_breakdown"), reason().alias("relevance_reason"), state.alias("staleness"), sections.alias("sections"), F.lit("hybrid").alias("search_type"))
 
 
 def fallback(corpus: Corpus, query: str, limit: int = 5, doc_type: str | None = None) -> DataFrame:
@@ -95,7 +95,7 @@ def fallback(corpus: Corpus, query: str, limit: int = 5, doc_type: str | None =
     top = fulltext.search(corpus.sections, corpus.documents, query, limit, doc_type)
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("rank", "section_id"))
     one = top.withColumn("r", place).filter("r = 1")
-    return one.select("doc_id", "title", "doc_type", "section_id", F.abs("rank").alias("score"), F.lit("fulltext_fallback").alias("search_type"))
+    return one.orderBy("rank", "section_id").select("doc_id", "title", "doc_type", "section_id", F.abs("rank").alias("score"), F.lit("fulltext_fallback").alias("search_type"))
 
 
 def linked_pages(results: DataFrame, corpus: Corpus, chars: int = 500) -> DataFrame:
