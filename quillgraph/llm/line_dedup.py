@@ -29,6 +29,7 @@ from quillgraph.llm.common import attach, column, map_batches, materialize, reco
 LEADING = 3
 SEGMENTS = 4
 MIN_TOKENS = 3
+MIN_CONSTANT = 2
 MIN_OPEN = 12
 MIN_DOCS = 5
 _DIGIT = re.compile(rb"[0-9]").search
@@ -47,7 +48,10 @@ def template_keys(line: bytes) -> tuple[int, list[int]] | None:
     if n < MIN_TOKENS:
         return None
     if _DIGIT(line):
-        tokens = [_FIELD if _DIGIT(t) else t for t in tokens]
+        # A line that is nearly all fields, such as a row of numbers, says too little without them.
+        shown = [_FIELD if _DIGIT(t) else t for t in tokens]
+        if n - shown.count(_FIELD) >= MIN_CONSTANT:
+            tokens = shown
     head = b"%d %s" % (n, b" ".join(tokens[:LEADING]))
     keys = [_hash(head, b" ".join(tokens[LEADING:]))]
     if n >= MIN_OPEN:

@@ -30,7 +30,7 @@ from quillgraph.llm.common import WORD_PATTERN, materialize
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 BLOCK = 4096
-LANDING_FLIPS = 3
+LANDING_FLIPS = 12
 _TINY = 1e-9
 
 

@@ -193,13 +193,13 @@ class PrefixCounter:
 
     def _fill(self, text: str, out: list[int], base: int) -> int:
         """Appends the counts of all prefixes of a text without special strings."""
-        pieces, i = self.pieces.findall(text), 0
+        pieces, i, blank = self.pieces.findall(text), 0, regex.compile(r"\s+").fullmatch
         while i < len(pieces):
             piece = pieces[i]
-            if piece.isspace() and i + 1 < len(pieces):
+            if blank(piece) and i + 1 < len(pieces):
                 # The run as a prefix sees it is one piece up to its last character so far.
                 run, j = piece, i + 1
-                while j < len(pieces) and pieces[j].isspace():
+                while j < len(pieces) and blank(pieces[j]):
                     run, j = run + pieces[j], j + 1
                 shown = self._ends(run)
                 out.extend(base + n for n in shown[: len(run)])

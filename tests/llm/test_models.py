@@ -1,0 +1,162 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from conftest import make_docs, words
+from pyspark.sql import functions as F
+
+from quillgraph.llm import language_id, line_crf, quality_rules, secret_scan
+from quillgraph.llm.common import HashMemo
+
+
+def sentences(rng, letters, n):
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(n))
+
+
+def test_code_lengths_are_those_of_one_tree():
+    rng = random.Random(1)
+    m = language_id.PpmModel({"x": [sentences(rng, "abc", 60)], "y": [sentences(rng, "bcde", 60)]})
+    p = np.exp2(-m.bits.reshape(-1, m.size, 2).astype(float))
+    assert np.allclose(p.sum(1), 1, atol=1e-4)
+    text = "abca deed"
+    s = [m.start] * 3 + [int(m.symbol[b]) for b in text.encode()]
+    slow = np.zeros(2)
+    for k in range(3, len(s)):
+        row = m.row_of[(s[k - 3] * m.size + s[k - 2]) * m.size + s[k - 1]]
+        slow += m.bits[row * m.size + s[k]]
+    assert np.allclose(slow, m.code_lengths(text), atol=1e-3)
+
+
+def test_escape_by_hand():
+    m = language_id.PpmModel({"x": ["aab"]})
+    a, b, n = int(m.symbol[97]), int(m.symbol[98]), m.size
+    # Order 0: a twice, b once; two distinct of three seen, and the rest is shared alike.
+    row0 = np.exp2(-m.bits.reshape(-1, n, 1)[0, :, 0].astype(float))
+    assert row0[a] == pytest.approx(2 / 5) and row0[b] == pytest.approx(1 / 5) and row0[0] == pytest.approx(2 / 5 / (n - 2))
+
+
+def test_languages(spark, odd, none):
+    rng = random.Random(2)
+    rows = [(i, sentences(rng, "abcdefg" if i % 2 else "efghijk", 40), "l1" if i % 2 else "l2", "s") for i in range(40)]
+    m = language_id.fit(make_docs(spark, rows), F.col("i") < 20)
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(make_docs(spark, rows), m, keep=["doc_id"]).collect()}
+    assert all(got[i] == lang for i, _, lang, _ in rows)
+    edge = {r.doc_id: (r.lang_pred, r.p) for r in language_id.predict(make_docs(spark, [(1, None, None, None), (2, "", "l1", "s"), (3, "123 !!", "l1", "s"), (4, "a", None, None)]), m, keep=["doc_id"], score_out="p").collect()}
+    assert edge[1] == edge[2] == edge[3] == ("und", 0.0) and edge[4][0] == "l1"
+    kept = language_id.keep_known(odd, language_id.fit(odd))
+    assert kept.columns == odd.columns and kept.filter("text is null").count() == 0
+    empty = language_id.fit(none)
+    assert empty.predict("abc") == ("und", 0.0) and language_id.predict(none, empty, keep=["doc_id"]).count() == 0
+
+
+def brute_base(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    wins = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    hit = {j for i, g in enumerate(wins) if wins.count(g) > 1 for j in range(i, i + 3)} if len(w) < 2000 else set()
+    if len(w) >= 2000:
+        from collections import Counter
+
+        c = Counter(wins)
+        hit = {j for i, g in enumerate(wins) if c[g] > 1 for j in range(i, i + 3)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)
+
+
+def test_base_rules(odd, odd_rows, none):
+    got = sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.apply_rules(odd, np.zeros(1 << quality_rules.BUCKETS_LOG2)).collect())
+    want = []
+    for i, t, *_ in odd_rows:
+        b = brute_base(t)
+        want.append((str(i), *b, b[0] < 50 or 100 * b[4] > 50 * b[0]))
+    assert got == sorted(want)
+    assert quality_rules.apply_rules(none, np.zeros(1 << quality_rules.BUCKETS_LOG2)).count() == 0
+    memo = HashMemo()
+    for t in ("# a|b\n# a|b\n\n \n# a|b", "x y z x y z\vx y z", "   a\x85b"):
+        n, *rest = quality_rules.base_counts(t, memo)
+        assert (len(n), *rest) == brute_base(t)
+
+
+def test_ratios_tell_target_from_junk(spark):
+    rng = random.Random(3)
+    good = [(i, " ".join(words(rng, 80)), "en", "a") for i in range(60)]
+    junk = [(100 + i, " ".join(f"{w}###" for w in words(rng, 80)), "en", "a") for i in range(20)]
+    docs = make_docs(spark, good + junk)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)] + [(101, 0, 0), (1, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    ratios = quality_rules.log_ratios(docs, quality_rules.target_ids(labels))
+    llr = {r.doc_id: r.llr for r in quality_rules.apply_rules(docs, ratios).collect()}
+    low, high = max(llr[i] for i, *_ in junk), min(llr[i] for i, *_ in good)
+    assert low < high
+    rows = quality_rules.apply_rules(docs, ratios, (low + high) / 2).collect()
+    assert all(r.kept == (r.doc_id < 100 and not r.base_failed) for r in rows)
+    assert not quality_rules.log_ratios(docs, quality_rules.target_ids(labels.filter("false"))).any()
+
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def brute_spans(t):
+    t = t or ""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return [f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out)]
+
+
+def test_secrets(spark, odd, odd_rows, none):
+    rng = random.Random(6)
+    parts = ["password", "PassWd", "token", "api_key", "APIKEY", "secret", "=", ":", " ", '"', "'", "abc", "abcdef", "x9+/_.", "é😀", "\n", "AKIA", "Z" * 16, "0a1b2c3d" * 3, "AKIA" + "Q1" * 9, "-"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(30))), "en", "a") for i in range(300)] + [(i + 1000 if i is not None else None, t, a, b) for i, t, a, b in odd_rows]
+    df = make_docs(spark, rows)
+    ratios = secret_scan.train(secret_scan.labelled_samples(odd))
+    want = sorted((str(i), hashlib.sha256(",".join(s).encode()).hexdigest(), *(sum(x.startswith(k) for x in s) for k in ("assign", "access", "hex"))) for i, s in ((i, brute_spans(t)) for i, t, *_ in rows))
+    got = secret_scan.scan(df, ratios).collect()
+    assert sorted((str(r.doc_id), r.base_sha256, r.n_assign, r.n_access, r.n_hex) for r in got) == want
+    base = {str(i): brute_spans(t) for i, t, *_ in rows}
+    assert all(set(base[str(r.doc_id)]) <= set(filter(None, r.spans.split(","))) for r in got if r.doc_id is not None and r.doc_id < 1000)
+    assert secret_scan.scan(none, ratios).count() == 0
+
+
+def test_random_strings_against_identifiers(spark, odd):
+    english = make_docs(spark, [(1, "the quick brown fox jumps over the lazy dog while reading configuration settings from environment variables and printing helpful messages to every interested reader " * 20, "en", "a")])
+    ratios = secret_scan.train(secret_scan.labelled_samples(english))
+    texts = ["see Zm9vYmFyQmF6UXV4MTIzNDU2Nzg5MGFiY2RlZg== here", "see environment_variables_reading here", "see printing/helpful/messages/every/reader here"]
+    got = {r.doc_id: r.n_random for r in secret_scan.scan(make_docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), ratios).collect()}
+    assert got == {0: 1, 1: 0, 2: 0}
+
+
+def brute_marginals(field, u):
+    from itertools import product
+
+    total, good = 0.0, np.zeros(len(u))
+    for ys in product((0, 1), repeat=len(u)):
+        w = np.exp(sum(y * v for y, v in zip(ys, u)) + sum(field.move[a, b] for a, b in zip(ys, ys[1:])))
+        total += w
+        good += w * np.array(ys)
+    return good / total
+
+
+def test_marginals_equal_enumeration():
+    rng = np.random.default_rng(0)
+    field = line_crf.LineField(0.5)
+    for n in (1, 2, 6):
+        field.move, u = rng.normal(size=(2, 2)), rng.normal(size=n)
+        assert np.allclose(field.marginals(u), brute_marginals(field, u))
+
+
+def test_quality_on_held_out_rows(spark, odd, none):
+    rng = random.Random(9)
+    good = lambda: "\n".join(" ".join(w.capitalize() if k == 0 else w for k, w in enumerate(words(rng, 12))) + "." for _ in range(rng.randrange(1, 6)))
+    bad = lambda: "\n".join(" ".join(f"{w.upper()}!!" for w in words(rng, 12)) for _ in range(rng.randrange(1, 6)))
+    rows = [(i, good() if i % 3 else bad(), "en", "a") for i in range(150)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(150)] + [(0, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = make_docs(spark, rows)
+    field = line_crf.fit(docs, labels, F.col("id") < 100)
+    got = {r.doc_id: (r.p, r.predicted) for r in line_crf.score(docs.withColumnRenamed("score", "other"), field, keep=["doc_id"]).withColumnRenamed("score", "p").collect()}
+    assert all(got[i][1] == int(i % 3 > 0) for i in range(100, 150)) and all(0 <= p <= 1 for p, _ in got.values())
+    assert line_crf.score(odd, field, keep=["doc_id"]).count() == odd.count() and line_crf.score(none, field, keep=["doc_id"]).count() == 0
+    assert field.score(None) == field.score("") == field.score(" \n ") == field.prior
+    untrained = line_crf.fit(none, labels.filter("false"))
+    assert untrained.score("text") == 0.5
