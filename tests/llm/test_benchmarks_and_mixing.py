@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import numpy as np
-from conftest import make_docs
+from llm_helpers import make_docs
 
 import corpus_pipeline
 from quillgraph.llm import decontaminate, mixing

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import make_docs, words
+from llm_helpers import make_docs, words
 from pyspark.sql import functions as F
 
 from quillgraph.llm import language_id, line_crf, quality_rules, secret_scan

@@ -1,7 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
-from conftest import make_docs, words
+from llm_helpers import make_docs, words
 
 from quillgraph.llm import line_dedup, ngram_join
 

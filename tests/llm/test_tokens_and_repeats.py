@@ -3,7 +3,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from conftest import make_docs, words
+from llm_helpers import make_docs, words
 
 from quillgraph.llm import substring_dedup, token_counts
 
