@@ -14,6 +14,7 @@ from quillgraph import schema
 from quillgraph.errors import DocumentNotFoundError, IndexNotReadyError, InvalidInputError
 from quillgraph.operators import fulltext, graph, hybrid, pages, staleness, suggest
 from quillgraph.operators import links as linking
+from quillgraph.shipping import ship
 from quillgraph.sources import embeddings, markdown, store
 from quillgraph.streaming import changes as streaming
 
@@ -45,7 +46,7 @@ class Engine:
     """Operations on a project; every result is a DataFrame unless it is a single count."""
 
     def __init__(self, spark: SparkSession, root: str, provider: embeddings.EmbeddingProvider | None = None):
-        self.spark, self.root = spark, root
+        self.spark, self.root = ship(spark), root
         self.provider = provider or embeddings.NoProvider()
         self.config = configuration.load(root) if configuration.exists(root) else configuration.Config()
         self._watch = None
