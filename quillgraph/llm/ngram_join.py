@@ -207,7 +207,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     dealt = grouped.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = dealt.select("grp", "member", "member_key", "block", "blocks", other.alias("o")).select("grp", "member", "member_key", "block", "blocks", F.least("block", "o").alias("low"), F.greatest("block", "o").alias("high"))
-    texts = own.join(cells, (own["id"] == cells["member"]) & (own["text_key"] == cells["member_key"])).select("grp", "low", "high", "block", "blocks", "member", "text")
+    # Texts move to their cells in the same way at every size; a broadcast here would only suit small inputs.
+    texts = own.join(cells.hint("merge"), (own["id"] == cells["member"]) & (own["text_key"] == cells["member_key"])).select("grp", "low", "high", "block", "blocks", "member", "text")
     found = materialize(texts.groupBy("grp", "low", "high").applyInPandas(_verify(threshold), "member long, links long, root long, wide boolean"), "op3-links")
     links = found.groupBy("member").agg(F.sum("links").alias("n_links"), F.min("root").alias("root"))
     # In a group of one block the task's forest is the component; others are joined across their tasks.
