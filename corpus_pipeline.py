@@ -45,7 +45,7 @@ STAGES = [
     ("mixing", mixed),
 ]
 
-# No stage but the last two could be put in SQL; tests hold each against a plain version.
+# The language models and the cube sampler have no SQL form; tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 
