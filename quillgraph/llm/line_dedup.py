@@ -89,9 +89,10 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = materialize(_lines(own.filter(F.col("id").isNotNull())), "op8-lines")
     # A template needs min_docs documents, so its leaf needs as many lines; most leaves end here.
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
-    parsed = materialize(lines.join(leaves, "leaf").select("id", "text_key", "line", F.explode("keys").alias("key")), "op8-keys")
+    # Joins are between tables as they were written, so that a hot leaf or template can be split.
+    parsed = materialize(lines.join(materialize(leaves, "op8-leaves"), "leaf").select("id", "text_key", "line", F.explode("keys").alias("key")), "op8-keys")
     recurring = parsed.select("key", "id").distinct().groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter(F.col("n") >= min_docs).select("key", "first")
-    gone = parsed.join(recurring, "key").filter(F.col("id") != F.col("first"))
+    gone = parsed.join(materialize(recurring, "op8-recurring"), "key").filter(F.col("id") != F.col("first"))
     return gone.groupBy("id", "text_key").agg(F.collect_set("line").alias("lines"))
 
 
