@@ -18,7 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import column, map_batches
@@ -183,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, id_col:
     named = named.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).filter("y = top").drop("top")
     shares = {r.y: r.n for r in named.groupBy("y").agg(F.count("*").alias("n")).collect()}
     prior = shares.get(1, 0) / sum(shares.values()) if shares else 0.5
-    ranked = named.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))).filter(F.col("r") <= per_label).select("id", "y")
+    first = lambda y: named.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_label)
+    ranked = first(0).unionByName(first(1))
     # At most twice per_label ids, so they can go to every task.
     texts = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")).filter(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(ranked), F.col("own") == F.col("id"))
     rows = sorted(((r.id, r.text, r.y) for r in texts.select("id", "text", "y").collect()), key=lambda r: (str(r[0]), r[1]))
