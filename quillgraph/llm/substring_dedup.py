@@ -116,7 +116,8 @@ def covered_runs(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
     found = materialize(_fingerprints(docs, window, seed), "op2-seeds")
     found = found.filter(F.col("id").isNotNull())
     shared = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor")
-    seeds = materialize(found.join(shared, "anchor"), "op2-shared")
+    # A join between two tables as they were written can be split where an anchor is hot; one with an aggregate cannot.
+    seeds = materialize(found.join(materialize(shared, "op2-anchors"), "anchor"), "op2-shared")
     kinds = seeds.groupBy("anchor", "run").agg(F.min(F.struct("id", "text_key", "first", "count")).alias("m")).select("anchor", "run", "m.*")
     spread = kinds.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor")
     windows = _extended(kinds.join(spread, "anchor"), docs, window)
@@ -124,6 +125,7 @@ def covered_runs(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
     lowest = windows.groupBy("anchor", "hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor", "hash", "low")
     partly = windows.join(lowest, ["anchor", "hash"]).filter("low < id").groupBy("anchor", "run").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("part"))
     first = kinds.select("anchor", "run", F.col("id").alias("owner")).join(partly, ["anchor", "run"], "left")
+    first = materialize(first, "op2-runs")
     mask = F.when(F.col("id") > F.col("owner"), F.expr("shiftleft(1L, count) - 1")).otherwise(F.coalesce("part", F.lit(0).cast("long")))
     return seeds.join(first, ["anchor", "run"]).select("id", "text_key", "first", mask.alias("mask")).filter("mask <> 0")
 
