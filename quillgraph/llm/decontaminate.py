@@ -8,9 +8,10 @@ longest run of words ending there that also occurs in some item.  A run of
 one window by itself.  Spans inside occurrences are hit; a document whose hit
 share reaches ``coverage`` is contaminated.
 
-The automaton is sent to every task, so the item table must be bounded: items
-are taken in shards of at most ``SHARD_BYTES`` of text, by a hash of the item,
-and each shard is one pass whose hits are united.
+Items are taken in shards of about ``SHARD_BYTES`` of text, by a hash of the
+item, with one automaton each, and the hits of all shards are united.  Shards
+bound a single broadcast, not memory: every task holds the automata of all
+shards at once, and the driver all items, so the item table must fit there.
 """
 
 from __future__ import annotations
@@ -160,7 +161,7 @@ class ItemAutomaton:
 
 
 def shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = SHARD_BYTES) -> list[list[tuple[str | None, str | None]]]:
-    """The items on the driver, in shards of a bounded size.
+    """The items on the driver, in shards of about ``limit`` bytes.
 
     One item table is a test set written by people, not a part of the corpus;
     its size is summed before anything is fetched.
@@ -172,7 +173,7 @@ def shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text", li
 
 
 def _scan_all(docs: DataFrame, items: DataFrame, window: int) -> list:
-    """One automaton for each shard of items, as broadcasts of a bounded size."""
+    """The items of each shard, as broadcasts; tasks build one automaton from each."""
     context = docs.sparkSession.sparkContext
     return [context.broadcast(shard) for shard in shards(items)]
 
@@ -219,8 +220,12 @@ def _united(automata: list[ItemAutomaton], words: list[bytes]) -> tuple[list[tup
         names |= {a.names[i] for i in found}
     if len(automata) > 1:
         merged: list[tuple[int, int]] = []
+        # Spans of several automata may nest, unlike those of one, whose ends only grow.
         for start, end in sorted(spans):
-            ItemAutomaton._add(merged, start, end)
+            if merged and start <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+            else:
+                merged.append((start, end))
         spans = merged
     return spans, names
 

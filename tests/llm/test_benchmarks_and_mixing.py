@@ -69,6 +69,21 @@ def test_cleaning(spark):
     assert all(t is None or n == len(t) for _, t, n in got)
 
 
+def test_nested_hits_of_several_shards(spark, monkeypatch):
+    rng = random.Random(8)
+    long = [f"q{k}" for k in range(30)]
+    items = [(1, " ".join(long)), *((k, f"a{k} {' '.join(long[k : k + 13])} b{k}") for k in range(2, 9))]
+    text = lambda n: " ".join([*(f"f{rng.randrange(9999)}" for _ in range(n)), *long, "end"])
+    rows = [(1, text(569), "en", "a"), (2, text(570), "en", "a"), (3, text(40), "en", "a")]
+    docs, bench = make_docs(spark, rows), spark.createDataFrame(items, ITEMS)
+    monkeypatch.setattr(decontaminate.shards, "__defaults__", ("item_id", "text", 60))
+    assert sum(bool(s) for s in decontaminate.shards(bench)) > 3
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.hits(docs, bench).collect())
+    assert got == sorted((str(i), *brute_hits(items, t)) for i, t, *_ in rows) and [r[2] for r in got] == [30, 30, 30]
+    kept = {r.doc_id: r.text.split() for r in decontaminate.clean(docs, bench).collect()}
+    assert set(kept) == {2} and kept[2] == [*rows[1][1].split()[:570], "end"]
+
+
 def test_targets():
     t = mixing.targets(np.array([100, 100, 1000]), np.array([5.0, 2.0, 1.0]), 1200)
     assert np.allclose(t, [300, 300, 600])
