@@ -10,7 +10,8 @@ Lines that share any template differ in one stretch at most.
 A template that occurs in at least ``MIN_DOCS`` documents recurs: its lines are
 dropped from all documents but the one with the smallest id.  Templates are keys
 of ordinary aggregations, so the result depends neither on order nor on how many
-lines a leaf holds.  Lines of fewer than ``MIN_TOKENS`` tokens stay.
+lines a leaf holds.  Lines of fewer than ``MIN_TOKENS`` tokens, and so all lines
+without blanks, are templates without fields: they recur as a whole.
 """
 
 from __future__ import annotations
@@ -61,17 +62,28 @@ def template_keys(line: bytes) -> tuple[int, list[int]] | None:
     return _hash(head), keys
 
 
+def line_keys(line: bytes) -> list[tuple[int, list[int]]]:
+    """Leaves of a line with the template keys under each; nothing for a line without a token."""
+    tokens = line.split()
+    if not tokens:
+        return []
+    if len(tokens) < MIN_TOKENS:
+        whole = _hash(b"%d" % len(tokens), *tokens)
+        return [(whole, [whole])]
+    return [template_keys(line)]
+
+
 def _lines(own: DataFrame) -> DataFrame:
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             rows, numbers, leaves, keys = [], [], [], []
             for i, text in enumerate(column(batch, "text")):
                 for k, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n") if text else ()):
-                    if found := template_keys(line):
+                    for leaf, under in line_keys(line):
                         rows.append(i)
                         numbers.append(k)
-                        leaves.append(found[0])
-                        keys.append(found[1])
+                        leaves.append(leaf)
+                        keys.append(under)
             if not rows:
                 return None
             take = pa.array(np.array(rows))

@@ -129,3 +129,15 @@ def test_templates():
     a, b = key(b"a b c d e f g h i j k l m n")[1], key(b"a b c d e f g h i j k l m X")[1]
     assert a[0] != b[0] and len(set(a) & set(b)) == 1
     assert key(b"1 2 3 4")[1] != key(b"1 2 3 5")[1]
+
+
+def dropped_lines(df):
+    """Pairs of document and line number that are dropped, without the report's hashes."""
+    return {(r.id, k) for r in line_dedup.recurring_lines(df).collect() for k in r.lines}
+
+
+def test_lines_of_one_or_two_tokens(spark):
+    own = lambda i: "".join(chr(0x4E00 + 31 * i + k) for k in range(25))
+    rows = [(i, f"Read more\n{own(i)}\n版权所有未经许可不得转载\n  Share\tthis \nPage {i}\n\n", "en", "a") for i in range(5)]
+    rows += [(10 + i, "Seen four\n" * 3 + own(90 + i), "en", "a") for i in range(4)]
+    assert dropped_lines(make_docs(spark, rows)) == {(i, k) for i in range(1, 5) for k in (0, 2, 3)}
