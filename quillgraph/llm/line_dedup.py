@@ -1,11 +1,16 @@
 """Line deduplication with a log-template tree of fixed depth.
 
 Method: every line walks down a tree as in log parsing.  The first level is its
-number of tokens, the next ones its leading tokens, where a token with a digit
-counts as a variable field.  Under such a leaf, templates generalise further
-fields: the rest of the line is cut into ``SEGMENTS`` stretches, and besides the
-line with its fields masked there is one template for each stretch left open.
-Lines that share any template differ in one stretch at most.
+number of tokens, where a token with a digit counts as a variable field; under it
+templates leave further fields open.  Lines of ``MIN_TOKENS`` to ``MIN_OPEN`` - 1
+tokens have a template for each choice of up to two open tokens, the leading ones
+too.  Longer lines are cut into their ``LEADING`` tokens and ``SEGMENTS`` further
+stretches, with a template for each choice of two open stretches.  Of what stays,
+``MIN_CONSTANT`` tokens must hold a letter and no digit, and one more where two
+are open; longer lines with fewer have one open stretch behind the leading tokens.
+
+Leaves only spare work: a leaf is the number of tokens and a part of the line that
+a template leaves whole, so lines that share a template share its leaf.
 
 A template that occurs in at least ``MIN_DOCS`` documents recurs: its lines are
 dropped from all documents but the one with the smallest id.  Templates are keys
@@ -16,7 +21,9 @@ without blanks, are templates without fields: they recur as a whole.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -34,7 +41,15 @@ MIN_CONSTANT = 2
 MIN_OPEN = 12
 MIN_DOCS = 5
 _DIGIT = re.compile(rb"[0-9]").search
+_LETTER = re.compile(rb"[A-Za-z\x80-\xff]").search
 _FIELD = b"<*>"
+_MASK = (1 << 64) - 1
+_FIELDS = [xxhash.xxh64_intdigest(_FIELD, k) for k in range(MIN_OPEN)]
+# Any three of five stretches hold one of these pairs, so four leaves serve all choices of two open stretches.
+_OPEN: dict[tuple[int, int], list[tuple[int, int]]] = {(0, 1): [], (2, 3): [], (2, 4): [], (3, 4): []}
+for _i, _j in itertools.combinations(range(SEGMENTS + 1), 2):
+    _OPEN[next(p for p in _OPEN if not {_i, _j} & set(p))].append((_i, _j))
+_CHOICES = sum(map(len, _OPEN.values()))
 
 
 def _hash(*parts: bytes) -> int:
@@ -65,12 +80,79 @@ def template_keys(line: bytes) -> tuple[int, list[int]] | None:
 def line_keys(line: bytes) -> list[tuple[int, list[int]]]:
     """Leaves of a line with the template keys under each; nothing for a line without a token."""
     tokens = line.split()
-    if not tokens:
+    n = len(tokens)
+    if not n:
         return []
-    if len(tokens) < MIN_TOKENS:
-        whole = _hash(b"%d" % len(tokens), *tokens)
+    if n < MIN_TOKENS:
+        whole = _hash(b"%d" % n, b" ".join(tokens))
         return [(whole, [whole])]
-    return [template_keys(line)]
+    words = tokens
+    if _DIGIT(line):
+        shown = [_FIELD if _DIGIT(t) else t for t in tokens]
+        if n - shown.count(_FIELD) >= MIN_CONSTANT:
+            tokens = shown
+    return _open_tokens(words, tokens) if n < MIN_OPEN else _open_stretches(line, words, tokens)
+
+
+def _solid(words: list[bytes]) -> list[bool]:
+    return [bool(_LETTER(t)) and not _DIGIT(t) for t in words]
+
+
+def _signed(total: int) -> int:
+    total &= _MASK
+    return total - (1 << 64) if total >> 63 else total
+
+
+@functools.lru_cache(4096)
+def _tag(*numbers: int) -> int:
+    return xxhash.xxh64_intdigest(b"%d " * len(numbers) % numbers)
+
+
+def _open_tokens(words: list[bytes], tokens: list[bytes]) -> list[tuple[int, list[int]]]:
+    """Keys with up to two open tokens, each under its first third without a field."""
+    n, solid = len(tokens), _solid(words)
+    # A key is a sum of one hash for each place, so opening a token adds a difference.
+    own = [xxhash.xxh64_intdigest(t, i) for i, t in enumerate(tokens)]
+    whole = _tag(n) + sum(own)
+    cuts = [n * k // 3 for k in range(4)]
+    spans = list(zip(cuts, cuts[1:], strict=False))
+    thirds = [None if _FIELD in tokens[a:b] else _signed(_tag(n, k) + sum(own[a:b])) for k, (a, b) in enumerate(spans)]
+    bit = [1 << k for k, (a, b) in enumerate(spans) for _ in range(a, b)]
+    leaf = [next((v for k, v in enumerate(thirds) if v is not None and not hit >> k & 1), None) for hit in range(8)]
+    free = [(i, _FIELDS[i] - own[i], bit[i]) for i in range(n) if tokens[i] != _FIELD]
+    found, total = [(whole, 0)], sum(solid)
+    for at, (i, more, hit) in enumerate(free, 1):
+        left = total - solid[i]
+        if left >= MIN_CONSTANT:
+            found.append((whole + more, hit))
+        if left > MIN_CONSTANT:
+            found += [(whole + more + again, hit | too) for j, again, too in free[at:] if left - solid[j] > MIN_CONSTANT]
+    under: dict[int, list[int]] = {}
+    for key, hit in found:
+        key = _signed(key)
+        under.setdefault(key if leaf[hit] is None else leaf[hit], []).append(key)
+    return list(under.items())
+
+
+def _open_stretches(line: bytes, words: list[bytes], tokens: list[bytes]) -> list[tuple[int, list[int]]]:
+    """Keys with two open stretches, each under a pair of stretches that stay."""
+    n = len(tokens)
+    cuts = [0, *(LEADING + (n - LEADING) * k // SEGMENTS for k in range(SEGMENTS + 1))]
+    spans = list(zip(cuts, cuts[1:], strict=False))
+    parts = [xxhash.xxh64_intdigest(b" ".join(tokens[a:b]), k) for k, (a, b) in enumerate(spans)]
+    whole, opening = _tag(n) + sum(parts), [f - p for f, p in zip(_FIELDS, parts, strict=False)]
+    # Words of plain letters are counted first, which is quick and nearly always enough.
+    for solid in (lambda: [t.isalpha() for t in words], lambda: _solid(words)):
+        flags = solid()
+        held = [sum(flags[a:b]) for a, b in spans]
+        total = sum(held)
+        under = {pair: [_signed(whole + opening[i] + opening[j]) for i, j in choices if total - held[i] - held[j] > MIN_CONSTANT] for pair, choices in _OPEN.items()}
+        missing = _CHOICES - sum(map(len, under.values()))
+        if not missing:
+            break
+    out = [(_signed(_tag(n, *pair) + parts[pair[0]] + parts[pair[1]]), keys) for pair, keys in under.items() if keys]
+    # Whether a pair may be open hangs on what stays alone; if all may, they cover the templates of one open stretch.
+    return [*out, template_keys(line)] if missing else out
 
 
 def _lines(own: DataFrame) -> DataFrame:
@@ -101,10 +183,11 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = materialize(_lines(own.filter(F.col("id").isNotNull())), "op8-lines")
     # A template needs min_docs documents, so its leaf needs as many lines; most leaves end here.
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf")
-    # Joins are between tables as they were written, so that a hot leaf or template can be split.
-    parsed = materialize(lines.join(materialize(leaves, "op8-leaves"), "leaf").select("id", "text_key", "line", F.explode("keys").alias("key")), "op8-keys")
+    # Joins are between tables as they were written, so that a hot leaf or template can be split; sorted
+    # ones at every size, as the leaves of a small table would be broadcast and those of a large one not.
+    parsed = materialize(lines.join(materialize(leaves, "op8-leaves").hint("merge"), "leaf").select("id", "text_key", "line", F.explode("keys").alias("key")), "op8-keys")
     recurring = parsed.select("key", "id").distinct().groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter(F.col("n") >= min_docs).select("key", "first")
-    gone = parsed.join(materialize(recurring, "op8-recurring"), "key").filter(F.col("id") != F.col("first"))
+    gone = parsed.join(materialize(recurring, "op8-recurring").hint("merge"), "key").filter(F.col("id") != F.col("first"))
     return gone.groupBy("id", "text_key").agg(F.collect_set("line").alias("lines"))
 
 

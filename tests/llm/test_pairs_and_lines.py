@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -141,3 +142,47 @@ def test_lines_of_one_or_two_tokens(spark):
     rows = [(i, f"Read more\n{own(i)}\n版权所有未经许可不得转载\n  Share\tthis \nPage {i}\n\n", "en", "a") for i in range(5)]
     rows += [(10 + i, "Seen four\n" * 3 + own(90 + i), "en", "a") for i in range(4)]
     assert dropped_lines(make_docs(spark, rows)) == {(i, k) for i in range(1, 5) for k in (0, 2, 3)}
+
+
+def test_open_fields_anywhere(spark):
+    name = lambda i, k: "".join("bcdfghjklm"[int(c)] for c in f"{i}{k}{7 * i + k}")
+    tail = "has sent this page to all readers who asked for news of"
+    templates = [
+        lambda i: f"Posted by {name(i, 1)} in {name(i, 2)}", lambda i: f"{name(i, 3)} wrote this article", lambda i: f"{name(i, 4)} and {name(i, 5)} edited this page",
+        lambda i: f"Seen by {name(i, 1) if i % 2 else i} and {name(i, 6)} this week", lambda i: f"{name(i, 7)} {tail} {name(i, 8)}", lambda i: f"From {name(i, 9)} who {tail} the town",
+        lambda i: f"{i} {i + 1} {i + 2} {i * i}", lambda i: f"{name(i, 1)} | {name(i, 2)} | same", lambda i: f"{name(i, 1)} or {name(i, 2)} or {name(i, 3)} again",
+    ]
+    rows = [(i, "\n".join(t(i) for t in templates), "en", "a") for i in range(1, 8)] + [(20 + i, f"Found by {name(i, 1)} in {name(i, 2)}", "en", "a") for i in range(4)]
+    assert dropped_lines(make_docs(spark, rows)) == {(i, k) for i in range(2, 8) for k in range(6)}
+
+
+def brute_open(rows, least):
+    """Lines to drop by comparing tokens in place: digits are fields, and up to two more tokens may differ."""
+    seen, per = defaultdict(set), {}
+    for i, text, *_ in rows:
+        for k, line in enumerate(text.split("\n")):
+            shown = [None if any(c.isdigit() for c in t) else t for t in line.split()]
+            if len(shown) - shown.count(None) < 2:
+                shown = line.split()
+            for size in range(3):
+                for opened in itertools.combinations([p for p, t in enumerate(shown) if t is not None], size):
+                    left = tuple(None if p in opened else t for p, t in enumerate(shown))
+                    if not size or sum(t is not None and t.isalpha() for t in left) >= size + 1:
+                        per.setdefault((i, k), []).append(left)
+                        seen[left].add(i)
+    return {at for at, all_of in per.items() if any(len(seen[x]) >= least and min(seen[x]) != at[0] for x in all_of)}
+
+
+def test_templates_of_middling_lines(spark):
+    rng = random.Random(15)
+    bases = [[rng.choice("abcdefghij") * 2 for _ in range(n)] for n in range(3, 12) for _ in range(4)]
+
+    def line():
+        w = list(rng.choice(bases))
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = rng.choice(("|", str(rng.randrange(99)), f"q{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}"))
+        return " ".join(w)
+
+    rows = [(i, "\n".join(line() for _ in range(6)), "en", "a") for i in range(60)]
+    want = brute_open(rows, line_dedup.MIN_DOCS)
+    assert dropped_lines(make_docs(spark, rows)) == want and 60 < len(want) < 330
