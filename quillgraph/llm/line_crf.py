@@ -8,8 +8,8 @@ of the document.
 
 The field is trained on a bounded sample of labelled documents
 (``SAMPLE_PER_LABEL`` of each label by a hash, texts of at most
-``MAX_TRAIN_BYTES``), each line with the label of its document, by full-batch
-gradient steps on the penalised conditional likelihood.
+``MAX_TRAIN_BYTES``), all lines of a text with the label of its document, by
+full-batch gradient steps on the penalised conditional likelihood.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from quillgraph.llm.common import column, map_batches
 
 SAMPLE_PER_LABEL = 700
 MAX_TRAIN_BYTES = 1 << 16
-MAX_TRAIN_LINES = 40
 THRESHOLD = 0.3
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123)) + bytes(range(128, 256))
@@ -117,57 +116,56 @@ class LineField:
 
 
 def train(samples: list[tuple[str | None, int]], prior: float, steps: int = 150, rate: float = 0.08, penalty: float = 1e-3) -> LineField:
-    """Fits the field; all sequences run side by side, padded to the longest."""
+    """Fits the field; all sequences run side by side, longest first, so that each step over lines takes a leading part of them."""
     field = LineField(prior)
-    data = [(features(t)[0][:MAX_TRAIN_LINES], y) for t, y in samples]
-    data = [(x, y) for x, y in data if len(x)]
+    data = [(features(t)[0].astype(np.float32), y) for t, y in samples]
+    data = sorted(((x, y) for x, y in data if len(x)), key=lambda d: -len(d[0]))
     if not data or len({y for _, y in data}) < 2:
         return field
-    every = np.vstack([x for x, _ in data])
-    field.mean, field.scale = every.mean(0), every.std(0) + 1e-6
-    d, n, longest = every.shape[1], len(data), max(len(x) for x, _ in data)
-    x, there, y = np.zeros((longest, n, d), np.float32), np.zeros((longest, n)), np.array([v for _, v in data], float)
+    sizes, y = np.array([len(x) for x, _ in data]), np.array([v for _, v in data], float)
+    # Line k of all sequences that have one stands in rows at[k] to at[k + 1], so nothing is padded.
+    live = [int((sizes > k).sum()) for k in range(sizes[0])]
+    at = np.concatenate(([0], np.cumsum(live))).tolist()
+    longest, n, d, rows = len(live), len(data), data[0][0].shape[1], at[-1]
+    x = np.empty((rows, d), np.float32)
     for i, (own, _) in enumerate(data):
-        x[: len(own), i] = (own - field.mean) / field.scale
-        there[: len(own), i] = 1
+        x[np.array(at[: len(own)]) + i] = own
+    del data
+    field.mean = x.mean(0, dtype=np.float64)
+    field.scale = x.std(0, dtype=np.float64) + 1e-6
+    x -= field.mean.astype(np.float32)
+    x /= field.scale.astype(np.float32)
+    who = np.concatenate([np.arange(m) for m in live])
+    prior_row = np.arange(n, rows) - np.repeat(live[:-1], live[1:])
     # Each document counts once, however many lines it has, and both labels weigh alike.
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / there.sum(0)
-    total = weight.sum()
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / sizes
+    total, weight, y = weight.sum(), weight[who], y[who]
     theta = np.zeros(d + 5)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         w, bias, move = theta[:d], theta[d], theta[d + 1 :].reshape(2, 2)
-        u = np.clip(x @ w.astype(np.float32) + bias, -30, 30)
-        gain, a = np.exp(u), np.exp(move)
-        fwd = np.empty((longest, n, 2))
-        fwd[0] = np.stack((np.ones(n), gain[0]), 1)
-        fwd[0] /= fwd[0].sum(1, keepdims=True)
+        gain, a = np.exp(np.clip(x @ w.astype(np.float32) + bias, -30, 30)), np.exp(move)
+        fwd, back = np.empty((rows, 2)), np.empty((rows, 2))
+        fwd[:n] = np.stack((np.ones(n), gain[:n]), 1)
+        fwd[:n] /= fwd[:n].sum(1, keepdims=True)
         for k in range(1, longest):
-            nxt = fwd[k - 1] @ a
-            nxt[:, 1] *= gain[k]
-            nxt /= nxt.sum(1, keepdims=True)
-            fwd[k] = np.where(there[k][:, None] > 0, nxt, fwd[k - 1])
-        back = np.full((n, 2), 0.5)
-        expected, good = np.zeros((2, 2)), np.zeros((longest, n))
+            nxt = fwd[at[k - 1] : at[k - 1] + live[k]] @ a
+            nxt[:, 1] *= gain[at[k] : at[k + 1]]
+            fwd[at[k] : at[k + 1]] = nxt / nxt.sum(1, keepdims=True)
+        last = np.full((n, 2), 0.5)
         for k in range(longest - 1, -1, -1):
-            live = there[k] > 0
-            m = fwd[k] * back
-            m /= m.sum(1, keepdims=True)
-            good[k] = np.where(live, m[:, 1], 0)
-            msg = back.copy()
-            msg[:, 1] *= gain[k]
-            if k:
-                pair = fwd[k - 1][:, :, None] * a[None] * msg[:, None, :]
-                pair /= pair.sum((1, 2), keepdims=True)
-                expected += (pair * (weight * live)[:, None, None]).sum(0)
-            new = msg @ a.T
-            new /= new.sum(1, keepdims=True)
-            back = np.where(live[:, None], new, back)
-        miss = there * (y[None, :] - good) * weight
+            msg = back[at[k] : at[k + 1]] = last[: live[k]]
+            new = (msg * np.stack((np.ones(live[k]), gain[at[k] : at[k + 1]]), 1)) @ a.T
+            last[: live[k]] = new / new.sum(1, keepdims=True)
+        good = fwd * back
+        good = good[:, 1] / good.sum(1)
+        back[:, 1] *= gain
+        pair = fwd[prior_row][:, :, None] * a[None] * back[n:, None, :]
+        expected = (pair * (weight[n:] / pair.sum((1, 2)))[:, None, None]).sum(0)
+        miss = (y - good) * weight
         observed = np.zeros((2, 2))
-        chains = (there[1:] * weight).sum(0)
-        observed[1, 1], observed[0, 0] = (chains * y).sum(), (chains * (1 - y)).sum()
-        grad = np.concatenate((np.tensordot(miss, x, ((0, 1), (0, 1))), [miss.sum()], (observed - expected).ravel())) / total - penalty * theta
+        observed[1, 1], observed[0, 0] = (weight * y)[n:].sum(), (weight * (1 - y))[n:].sum()
+        grad = np.concatenate((miss.astype(np.float32) @ x, [miss.sum()], (observed - expected).ravel())) / total - penalty * theta
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta += rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     field.weights, field.bias, field.move = theta[:d], float(theta[d]), theta[d + 1 :].reshape(2, 2)

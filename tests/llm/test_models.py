@@ -160,3 +160,14 @@ def test_quality_on_held_out_rows(spark, odd, none):
     assert field.score(None) == field.score("") == field.score(" \n ") == field.prior
     untrained = line_crf.fit(none, labels.filter("false"))
     assert untrained.score("text") == 0.5
+
+
+def test_training_reads_whole_texts():
+    rng = random.Random(10)
+    clean = lambda n: [" ".join(words(rng, 12)).capitalize() + "." for _ in range(n)]
+    junk = lambda n: [" ".join(f"{w.upper()}!!" for w in words(rng, 12)) for _ in range(n)]
+    sample = [("\n".join(clean(rng.randrange(50, 90)) + (clean if i % 2 else junk)(60 + i)), i % 2) for i in range(20)]
+    field = line_crf.train(sample, 0.5)
+    cut = line_crf.train([("\n".join(t.split("\n")[:40]), y) for t, y in sample], 0.5)
+    assert not np.allclose(field.weights, cut.weights)
+    assert field.score("\n".join(junk(30))) < 0.1 < 0.6 < field.score("\n".join(clean(30)))
