@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import itertools
 import tempfile
 import uuid
@@ -9,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +21,10 @@ from pyspark.sql import functions as F
 # exactly that set, also inside UTF-8 text.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_MEMO_LIMIT = 400_000
+# What one worker remembers: at most so many words of at most so many bytes, some 30 MB.
+_MEMO_LIMIT, _MEMO_WORD = 150_000, 64
+# Arrow batches between Spark and Python, and the pieces that are worked on at a time.
+BATCH_ROWS, BATCH_BYTES, SLICE_BYTES = 1000, 4 << 20, 1 << 20
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -27,16 +33,18 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 class HashMemo(dict):
-    """Stable 64-bit hashes of byte strings, remembered up to a bounded count."""
+    """Stable 64-bit hashes of byte strings, remembered up to a bounded count; long strings are not kept."""
 
     def __init__(self, seed: int = 0, limit: int = _MEMO_LIMIT):
         super().__init__()
         self.seed, self.limit = seed, limit
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, self.seed)
+        value = xxhash.xxh64_intdigest(word, self.seed)
+        if len(word) <= _MEMO_WORD:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = value
         return value
 
     def array(self, words: list[bytes]) -> np.ndarray:
@@ -80,12 +88,29 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches small: by default a batch is 10,000 rows, whatever their texts weigh."""
+    conf = spark.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, as a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """Runs ``make()`` once per task and its result on every Arrow batch.
+    """Runs ``make()`` once per task and its result on pieces of every Arrow batch.
 
-    Batches are cut to about a megabyte of rows by the reader below, so that a
-    run of very long texts does not meet in one working set.
+    Batches hold at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES``, pieces about
+    ``SLICE_BYTES``, so that a run of very long texts does not meet in one working
+    set.  A single longer text is a piece by itself.
     """
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -94,11 +119,13 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
                 out = work(part)
                 if out is not None and out.num_rows:
                     yield out
+        del work
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, target: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, target: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of roughly ``target`` bytes."""
     if batch.num_rows == 0:
         return
@@ -111,20 +138,38 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def nested(batch: pa.RecordBatch, name: str) -> Iterator[dict[str, np.ndarray]]:
+    """A column of arrays of structs of numbers as flat arrays, one dict per row; null is empty."""
+    lists = batch.column(batch.schema.get_field_index(name))
+    sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+    flat = lists.flatten()
+    fields = {flat.type.field(i).name: flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields)}
+    at = 0
+    for n in sizes.tolist():
+        yield {k: v[at : at + n] for k, v in fields.items()}
+        at += n
+
+
 def record(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 _NUMBER = itertools.count()
+_WRITTEN: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; set to a local one only where unset."""
+    """The shared folder the session names in spark.checkpoint.dir.
+
+    Only a local master may do without; its own temporary folder is set then.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         hadoop = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = hadoop.get() if hadoop.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quillgraph-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -135,17 +180,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     Cuts lineage and keeps Python stages from being run once per use; the
     written files survive the loss of any executor.  They are removed when the
-    application ends.
+    application ends, or by ``scratch_freed``.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quillgraph/{name}-{uuid.uuid4().hex}-{next(_NUMBER)}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    where, files = _hadoop(spark, path)
+    files.deleteOnExit(where)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@contextlib.contextmanager
+def scratch_freed(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes the scratch tables written inside, but for the last one, which is the result."""
+    first = len(_WRITTEN)
+    yield _WRITTEN
+    while len(_WRITTEN) > first + 1:
+        where, files = _hadoop(spark, _WRITTEN.pop(first))
+        files.delete(where, True)
+
+
 def crc_mod(column: Column, modulus: int) -> Column:
     """crc32 of a value as text, modulo ``modulus``; null counts as empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus

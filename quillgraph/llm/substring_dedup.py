@@ -8,21 +8,28 @@ smallest hash is the window's anchor (winnowing), so two equal windows always
 share their anchor, at the same place.  Neighbouring windows with one anchor form
 a run; a run is at most ``WINDOW - SEED + 1`` windows long.
 
-Extension.  Occurrences join on anchors that several documents hold.  Equal runs
-(same anchor, same words) match as a whole: all but those in the smallest
-document are covered.  A run that is the first of its kind is extended word by
-word to both sides against the other runs of its anchor: its windows are looked
-up among theirs, and each learns the smallest document that holds it.  No pair
-of documents is formed, so the work is linear in the occurrences, however many
-documents share a passage.  What is covered together is maximal by construction:
-windows that touch or overlap are one span.
-
-Anchors, runs and windows are compared by two independent 64-bit hashes.
+Extension.  Occurrences join on anchors that several documents hold, and each
+anchor is extended to both sides: a run that equals an earlier document's run of
+the anchor matches over its whole length, and a run that is the first of its kind
+is extended place by place (so many words to the left, the rest to the right)
+against all other kinds of its anchor.  Each match names the smallest document
+that holds the words and where.  No pair of documents is formed, so the work is
+linear in the occurrences, however many documents share a passage.
+
+Maximal repeats.  Matches of neighbouring anchors with the same source on the same
+diagonal are one repeat, which ends where the words to both sides differ (or go on
+with another source).  Its length is ``WINDOW`` words or more by construction; the
+words of all repeats go.
+
+Words have 64-bit hashes, and so have grams made of them.  Runs and windows are
+only ever compared under one anchor, so a wrong match takes a chance collision
+among the texts that share ten words in a row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +37,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import HashMemo, column, compose, map_batches, materialize, mix, record, signed, split_words
+from quillgraph.llm.common import HashMemo, column, compose, map_batches, materialize, mix, nested, record, signed, split_words
 
 WINDOW = 50
 SEED = 10
@@ -86,7 +93,7 @@ def _fingerprints(docs: DataFrame, window: int, seed: int) -> DataFrame:
 
 
 def _extended(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
-    """Window hashes (id, anchor, run, place, hash) of runs that are to be extended."""
+    """Windows (id, anchor, run, place, start, hash) of runs that are to be extended."""
     lists = wanted.groupBy("id", "text_key").agg(F.collect_list(F.struct("anchor", "run", "first", "count")).alias("runs"))
 
     def make():
@@ -94,51 +101,111 @@ def _extended(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             out = []
-            for i, (text, runs) in enumerate(zip(column(batch, "text"), column(batch, "runs"), strict=True)):
+            for i, (text, runs) in enumerate(zip(column(batch, "text"), nested(batch, "runs"), strict=True)):
                 windows = signed(_grams(memo.array(split_words(text)), window, 31))
-                for r in runs:
-                    n = r["count"]
-                    out.append((np.full(n, i), np.full(n, r["anchor"]), np.full(n, r["run"]), np.arange(n), windows[r["first"] : r["first"] + n]))
+                count = runs["count"].astype(np.int64)
+                place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                start = np.repeat(runs["first"], count) + place
+                out.append((np.full(len(place), i), np.repeat(runs["anchor"], count), np.repeat(runs["run"], count), place, start, windows[start]))
             if not out:
                 return None
-            row, anchor, run, place, found = (np.concatenate(x) for x in zip(*out, strict=True))
-            return record(id=batch.column(0).take(pa.array(row)), anchor=pa.array(anchor), run=pa.array(run), place=pa.array(place, pa.int32()), hash=pa.array(found))
+            row, anchor, run, place, start, found = (np.concatenate(x) for x in zip(*out, strict=True))
+            return record(id=batch.column(0).take(pa.array(row)), anchor=pa.array(anchor), run=pa.array(run), place=pa.array(place, pa.int32()), start=pa.array(start, pa.int32()), hash=pa.array(found))
 
         return work
 
     kind = docs.schema["id"].dataType.simpleString()
     joined = docs.join(lists, ["id", "text_key"]).select("id", "text", "runs")
-    return map_batches(joined, make, f"id {kind}, anchor long, run long, place int, hash long")
-
-
-def covered_runs(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(id, text_key, first, mask): bit k of mask is set if window ``first + k`` repeats an earlier document."""
-    found = materialize(_fingerprints(docs, window, seed), "op2-seeds")
-    found = found.filter(F.col("id").isNotNull())
-    shared = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor")
-    # A join between two tables as they were written can be split where an anchor is hot; one with an aggregate cannot.
-    seeds = materialize(found.join(materialize(shared, "op2-anchors"), "anchor"), "op2-shared")
-    kinds = seeds.groupBy("anchor", "run").agg(F.min(F.struct("id", "text_key", "first", "count")).alias("m")).select("anchor", "run", "m.*")
-    spread = kinds.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor")
-    windows = _extended(kinds.join(spread, "anchor"), docs, window)
-    windows = materialize(windows, "op2-windows")
-    lowest = windows.groupBy("anchor", "hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor", "hash", "low")
-    partly = windows.join(lowest, ["anchor", "hash"]).filter("low < id").groupBy("anchor", "run").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("part"))
-    first = kinds.select("anchor", "run", F.col("id").alias("owner")).join(partly, ["anchor", "run"], "left")
-    first = materialize(first, "op2-runs")
-    mask = F.when(F.col("id") > F.col("owner"), F.expr("shiftleft(1L, count) - 1")).otherwise(F.coalesce("part", F.lit(0).cast("long")))
-    return seeds.join(first, ["anchor", "run"]).select("id", "text_key", "first", mask.alias("mask")).filter("mask <> 0")
-
-
-def _flags(n_words: int, runs: list[dict] | None, window: int) -> np.ndarray:
-    """Which words the covered windows cover."""
-    gone = np.zeros(n_words + 1, np.int32)
-    for r in runs or ():
-        for k in range(r["mask"].bit_length()):
-            if r["mask"] >> k & 1:
-                gone[r["first"] + k] += 1
-                gone[r["first"] + k + window] -= 1
-    return np.cumsum(gone[:-1]) > 0
+    return map_batches(joined, make, f"id {kind}, anchor long, run long, place int, start int, hash long")
+
+
+def matches(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """(id, text_key, first, mask, source, source_first) of matched runs.
+
+    Bit k of mask is set if window ``first + k`` equals window ``source_first + k``
+    of the earlier document ``source``.
+    """
+    found = materialize(_fingerprints(docs, window, seed), "op2-seeds").filter(F.col("id").isNotNull())
+    several = lambda df: df.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor")
+    # Joins are between tables as they were written, which can be split where an anchor is hot; those with an aggregate cannot.
+    seeds = materialize(found.join(materialize(several(found), "op2-anchors"), "anchor"), "op2-shared")
+    kinds = materialize(seeds.groupBy("anchor", "run").agg(F.min(F.struct("id", "text_key", "first", "count")).alias("m")).select("anchor", "run", "m.*"), "op2-kinds")
+    wanted = materialize(kinds.join(materialize(several(kinds), "op2-spread"), "anchor"), "op2-wanted")
+    windows = materialize(_extended(wanted, docs, window), "op2-windows")
+    lowest = windows.groupBy("anchor", "hash").agg(F.min(F.struct("id", "start")).alias("m"), F.max("id").alias("high")).filter("m.id < high").select("anchor", "hash", F.col("m.id").alias("source"), F.col("m.start").alias("at"))
+    partly = windows.join(materialize(lowest, "op2-lowest"), ["anchor", "hash"]).filter("source < id")
+    partly = partly.groupBy("anchor", "run", "source", (F.col("at") - F.col("place")).alias("source_first"), F.col("id").alias("only")).agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
+    whole = kinds.select("anchor", "run", F.col("id").alias("source"), F.col("first").alias("source_first"), F.lit(None).cast(docs.schema["id"].dataType).alias("only"), F.expr("shiftleft(1L, count) - 1").alias("mask"))
+    known = materialize(whole.unionByName(partly), "op2-matches")
+    joined = seeds.select("id", "text_key", "anchor", "run", "first").join(known, ["anchor", "run"])
+    own = (F.col("only").isNull() & (F.col("id") > F.col("source"))) | (F.col("only") == F.col("id"))
+    return joined.filter(own).select("id", "text_key", "first", "mask", "source", "source_first")
+
+
+def _per_document(found: DataFrame) -> DataFrame:
+    return found.groupBy("id", "text_key").agg(F.collect_list(F.struct("first", "mask", "source_first")).alias("runs"), F.collect_list("source").alias("sources"))
+
+
+def maximal(first: np.ndarray, mask: np.ndarray, source: np.ndarray, source_first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, source and source start of the maximal repeats of one document, in order.
+
+    Windows in a row with one source on one diagonal are one repeat.
+    """
+    bits = np.unpackbits(np.ascontiguousarray(mask, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    run, place = np.nonzero(bits)
+    at, diagonal, source = first[run].astype(np.int64) + place, (source_first - first)[run].astype(np.int64), source[run]
+    order = np.lexsort((at, diagonal, source))
+    at, diagonal, source = at[order], diagonal[order], source[order]
+    new = np.concatenate(([True], (np.diff(source) != 0) | (np.diff(diagonal) != 0) | (np.diff(at) > 1)))[: len(at)]
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(at)) - 1
+    start, end = at[head], at[tail[: len(head)]] + window
+    by_place = np.lexsort((source[head], end, start))
+    return start[by_place], end[by_place], source[head][by_place], (start + diagonal[head])[by_place]
+
+
+def _repeats(batch: pa.RecordBatch, window: int):
+    """The maximal repeats of each row; sources as places in the batch's list of sources."""
+    runs, sources = nested(batch, "runs"), batch.column(batch.schema.get_field_index("sources"))
+    coded = sources.flatten().dictionary_encode()
+    codes, at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), 0
+    for r in runs:
+        n = len(r["first"])
+        yield (*maximal(r["first"], r["mask"], codes[at : at + n], r["source_first"], window), coded.dictionary)
+        at += n
+
+
+def _checked(window: int, seed: int) -> None:
+    if not 0 < window - seed + 1 <= 63 or window % _FIVE or seed % _FIVE:
+        raise ValueError("window and seed must be multiples of five, the seed shorter by less than 63 words")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_key"), F.col(f"`{text_col}`").alias("text"))
+
+
+def maximal_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start, end, source, source_start): every maximal repeat of an earlier document, in words.
+
+    Rows with a null id have none; repeated rows of one id are one.
+    """
+    _checked(window, seed)
+    found = _per_document(matches(_keyed(docs, id_col, text_col), window, seed)).select("id", "runs", "sources")
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            parts, names = [], None
+            for i, (start, end, source, source_start, names) in enumerate(_repeats(batch, window)):
+                parts.append((np.full(len(start), i), start, end, source, source_start))
+            if names is None:
+                return None
+            i, start, end, source, source_start = (np.concatenate(x) for x in zip(*parts, strict=True))
+            return record(doc_id=batch.column(0).take(pa.array(i)), start=pa.array(start), end=pa.array(end), source=names.take(pa.array(source)), source_start=pa.array(source_start))
+
+        return work
+
+    kind = found.schema["id"].dataType.simpleString()
+    return map_batches(found, make, f"doc_id {kind}, start long, end long, source {kind}, source_start long").distinct()
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -149,23 +216,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_c
     repeats of one another: only documents with a smaller id count.  Repeated
     rows are judged alike.
     """
-    if not 0 < window - seed + 1 <= 63 or window % _FIVE or seed % _FIVE:
-        raise ValueError("window and seed must be multiples of five, the seed shorter by less than 63 words")
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    spans = covered_runs(own, window, seed).groupBy("id", "text_key").agg(F.collect_list(F.struct("first", "mask")).alias("runs"))
-    joined = own.join(spans, ["id", "text_key"], "left").select("id", "text", "runs")
+    _checked(window, seed)
+    own = _keyed(docs, id_col, text_col)
+    joined = own.join(_per_document(matches(own, window, seed)), ["id", "text_key"], "left").select("id", "text", "runs", "sources")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
-            for text, runs in zip(column(batch, "text"), column(batch, "runs"), strict=True):
+            for text, (start, end, *_) in zip(column(batch, "text"), _repeats(batch, window), strict=True):
                 words = split_words(text)
-                kept = words
-                if runs:
-                    gone = _flags(len(words), runs, window)
-                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                n, kept = len(words), words
+                if len(start):
+                    edges = np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1)
+                    kept = list(itertools.compress(words, (np.cumsum(edges[:n]) == 0).tolist()))
                 whole = b" ".join(kept)
-                rows.append((len(words), len(words) - len(kept), hashlib.sha256(whole).hexdigest(), whole.decode("utf-8", "replace") if keep_text else None))
+                rows.append((n, n - len(kept), hashlib.sha256(whole).hexdigest(), whole.decode("utf-8", "replace") if keep_text else None))
             cols = list(zip(*rows, strict=True))
             out = {"doc_id": batch.column(0), "n_words": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()), "kept_sha256": pa.array(cols[2], pa.string())}
             if keep_text:

@@ -86,3 +86,51 @@ def test_repeats_in_overlapping_texts(spark):
     pool = [words(rng, rng.randrange(10, 60), 30) for _ in range(12)]
     rows = [(i, " ".join(x for _ in range(rng.randrange(1, 6)) for x in rng.choice(pool)), "en", "a") for i in range(60)]
     assert got_repeats(make_docs(spark, rows), window=15, seed=5) == brute_repeats(rows, 15)
+
+
+def brute_maximal(rows, window):
+    """Per document: each window's earliest other holder, joined along diagonals."""
+    held = {}
+    for i, t, *_ in rows:
+        w = t.split()
+        for k in range(len(w) - window + 1):
+            g = tuple(w[k : k + window])
+            held[g] = min(held.get(g, (i, k)), (i, k))
+    out = []
+    for i, t, *_ in rows:
+        w, at = t.split(), {}
+        for k in range(len(w) - window + 1):
+            source, place = held[tuple(w[k : k + window])]
+            if source < i:
+                at.setdefault((source, place - k), []).append(k)
+        for (source, diagonal), places in at.items():
+            start = before = places[0]
+            for k in [*places[1:], None]:
+                if k is None or k > before + 1:
+                    out.append((i, start, before + window, source, start + diagonal))
+                    start = k
+                before = k
+    return sorted(out)
+
+
+def test_maximal_repeats(spark):
+    rng = random.Random(5)
+    passage, other = words(rng, 40, 10_000), words(rng, 25, 10_000)
+    body = lambda *parts: " ".join(x for p in parts for x in p)
+    rows = [
+        (1, body(words(rng, 30, 10_000), passage, words(rng, 9, 10_000)), "en", "a"),
+        (2, body(passage, other), "en", "a"),
+        (3, body(words(rng, 5, 10_000), passage[3:], other, passage[:30]), "en", "a"),
+        (4, body(other, passage, passage), "en", "a"),
+    ]
+    found = substring_dedup.maximal_repeats(make_docs(spark, rows), window=15, seed=5).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.source, r.source_start) for r in found) == brute_maximal(rows, 15)
+    assert substring_dedup.maximal_repeats(make_docs(spark, rows[:1]), window=15, seed=5).count() == 0
+
+
+def test_hot_anchor_with_many_contexts(spark):
+    """One ten-word seed in all documents, with contexts that differ, partly agree, or agree."""
+    rng = random.Random(6)
+    seed, lefts, rights = words(rng, 10, 10_000), [words(rng, 40, 10_000) for _ in range(5)], [words(rng, 40, 10_000) for _ in range(7)]
+    rows = [(i, " ".join([*rng.choice(lefts)[rng.randrange(30) :], *seed, *rng.choice(rights)[: rng.randrange(5, 40)]]), "en", "a") for i in range(300)]
+    assert got_repeats(make_docs(spark, rows), window=20, seed=10) == brute_repeats(rows, 20)
