@@ -134,12 +134,14 @@ def matches(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     windows = materialize(_extended(wanted, docs, window), "op2-windows")
     lowest = windows.groupBy("anchor", "hash").agg(F.min(F.struct("id", "start")).alias("m"), F.max("id").alias("high")).filter("m.id < high").select("anchor", "hash", F.col("m.id").alias("source"), F.col("m.start").alias("at"))
     partly = windows.join(materialize(lowest, "op2-lowest"), ["anchor", "hash"]).filter("source < id")
-    partly = partly.groupBy("anchor", "run", "source", (F.col("at") - F.col("place")).alias("source_first"), F.col("id").alias("only")).agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
-    whole = kinds.select("anchor", "run", F.col("id").alias("source"), F.col("first").alias("source_first"), F.lit(None).cast(docs.schema["id"].dataType).alias("only"), F.expr("shiftleft(1L, count) - 1").alias("mask"))
-    known = materialize(whole.unionByName(partly), "op2-matches")
+    partly = materialize(partly.groupBy("anchor", "run", "source", (F.col("at") - F.col("place")).alias("source_first")).agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask")), "op2-partly")
+    # Of a run, windows that a still earlier document holds under another kind have that source; the rest has the run's first document.
+    taken = partly.groupBy("anchor", "run").agg(F.bit_or("mask").alias("taken"))
+    rest = F.expr("(shiftleft(1L, count) - 1) & ~coalesce(taken, 0L)")
+    whole = kinds.join(taken, ["anchor", "run"], "left").select("anchor", "run", F.col("id").alias("source"), F.col("first").alias("source_first"), rest.alias("mask")).filter("mask <> 0")
+    known = materialize(whole.unionByName(partly.select(*whole.columns)), "op2-matches")
     joined = seeds.select("id", "text_key", "anchor", "run", "first").join(known, ["anchor", "run"])
-    own = (F.col("only").isNull() & (F.col("id") > F.col("source"))) | (F.col("only") == F.col("id"))
-    return joined.filter(own).select("id", "text_key", "first", "mask", "source", "source_first")
+    return joined.filter("id > source").select("id", "text_key", "first", "mask", "source", "source_first")
 
 
 def _per_document(found: DataFrame) -> DataFrame:
