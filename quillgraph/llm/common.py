@@ -215,15 +215,18 @@ def docs_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataF
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def attach(docs: DataFrame, facts: DataFrame, id_col: str, text_col: str, names: list[str], how: str = "left") -> DataFrame:
+def attach(docs: DataFrame, facts: DataFrame, id_col: str, text_col: str, names: list[str], how: str = "left", once: bool = False) -> DataFrame:
     """``docs`` with the columns ``names`` of ``facts``, which is keyed by id and text_key.
 
     ``id`` and ``text_key`` (a hash of the text) tell rows apart even where ids
-    repeat; columns come under ``__qg_`` names, so they clash with none.
+    repeat; columns come under ``__qg_`` names, so they clash with none.  With
+    ``once``, of rows that agree in id and text one stays.
     """
     own = facts.select(F.col("id").alias("__qg_id"), F.col("text_key").alias("__qg_text_key"), *[F.col(n).alias(f"__qg_{n}") for n in names])
     keyed = docs.withColumn("__qg_key", F.xxhash64(F.col(f"`{text_col}`")))
     joined = keyed.join(own, (keyed[f"`{id_col}`"] == own["__qg_id"]) & (keyed["__qg_key"] == own["__qg_text_key"]), how)
+    if once:
+        joined = joined.dropDuplicates(["__qg_id", "__qg_text_key"])
     return joined.drop("__qg_key", "__qg_id", "__qg_text_key")
 
 

@@ -2,6 +2,7 @@ import itertools
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from llm_helpers import make_docs, words
 
 from quillgraph.llm import line_dedup, ngram_join
@@ -68,6 +69,50 @@ def test_large_group_over_several_blocks(spark, monkeypatch):
     assert got_classes(make_docs(spark, rows)) == brute_classes(rows)
 
 
+def test_ids_that_stand_for_several_texts(spark):
+    rng = random.Random(3)
+    a, b = words(rng, 120, 10_000), words(rng, 120, 10_000)
+    near = lambda w: [*w[:7], "other", *w[8:]]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(near(a))), (3, " ".join(near(b)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.class_report(df).collect()) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    assert sorted(r.text for r in ngram_join.drop_near_duplicates(df).collect()) == sorted((rows[0][1], rows[1][1]))
+    named = spark.createDataFrame([(f"n{i}-{k}", t) for k, (i, t) in enumerate(rows)], "doc_id string, text string")
+    assert sorted((r.doc_id, r.class_id) for r in ngram_join.class_report(named).collect()) == [("n1-0", "n1-0"), ("n1-1", "n1-1"), ("n2-2", "n1-0"), ("n3-3", "n1-1")]
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs at a similarity of 0.8 to 0.86, each of its own, all of them verified exactly."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(600):
+        w = words(rng, 97 + i % 9, 10**6)
+        v = list(w)
+        v[20], v[70 + i % 20] = "new", "words"
+        rows += [(2 * i, " ".join(w), "en", "a"), (2 * i + 1, " ".join(v), "en", "a")]
+    true = sum(n for _, _, n in brute_pairs(rows))
+    found = sum(n for _, _, n in got_classes(make_docs(spark, rows)))
+    assert true >= 400 and found <= true and found >= 0.99 * true
+
+
+def brute_pairs(rows):
+    for k in range(0, len(rows), 2):
+        a, b = shingle_set(rows[k][1]), shingle_set(rows[k + 1][1])
+        yield rows[k][0], rows[k + 1][0], 2 * (len(a & b) >= 0.8 * len(a | b))
+
+
+def test_components_of_long_chains_and_hubs(spark):
+    rng = random.Random(1)
+    chain = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 200)] + [(500, 501)]
+    names = rng.sample(range(1000), 1000)
+    edges = spark.createDataFrame([(names[a], names[b]) for a, b in chain], "u long, v long")
+    got = {r.node: r.root for r in ngram_join.components(edges, "test").collect()}
+    groups = [range(0, 61), range(100, 300), (500, 501)]
+    assert got == {names[i]: min(names[k] for k in g) for g in groups for i in g}
+    with pytest.raises(RuntimeError):
+        ngram_join.components(edges, "test", limit=1)
+
+
 def test_band_choice():
     for threshold, recall in ((0.8, 0.999), (0.5, 0.95), (0.9, 0.99)):
         bands, rows = ngram_join.choose_bands(threshold, recall)
