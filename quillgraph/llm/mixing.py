@@ -10,19 +10,24 @@ The probabilities of a block move along the null space of the two constraints
 until each but two of its units is 0 or 1 (fast flight: three units at a time
 always leave one direction free).  The one or two fractional units of each block
 go on to the next, smaller round of blocks, so totals are kept exactly through
-all rounds; at most two units of a source remain and are landed at the end, by
-the choice that comes nearest the target.
+all rounds.  A source's last block keeps ``LANDING`` units of all sizes back from
+the flight; with the two that it leaves open they are the landing problem, small
+enough to be solved as a whole: of all choices that keep the documents to less
+than one, the one that comes nearest the tokens.
 
 Blocks are dealt by a hash of the document, so reruns agree whatever the
 partitioning, and a source of any size is spread over as many blocks as it needs.
+Sources are a table like any other: they are ranked, weighed and joined without
+a list of them in the driver or in the plan.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import WORD_PATTERN, materialize
@@ -30,41 +35,45 @@ from quillgraph.llm.common import WORD_PATTERN, materialize
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 BLOCK = 4096
-LANDING_FLIPS = 12
+LANDING = 14
 _TINY = 1e-9
 
 
-def targets(sizes: np.ndarray, weights: np.ndarray, total: float, cap: float = MAX_REPEATS) -> np.ndarray:
-    """Shares of ``total`` by weight, none above ``cap`` times its size."""
-    top, out = cap * sizes.astype(float), np.zeros(len(sizes))
-    open_ = top > 0
-    left = float(min(total, top.sum()))
-    while open_.any() and left > _TINY:
-        level = left / weights[open_].sum()
-        full = open_ & (top <= level * weights * (1 + 1e-12))
-        if not full.any():
-            out[open_] = level * weights[open_]
-            break
-        out[full] = top[full]
-        left -= top[full].sum()
-        open_ &= ~full
-    return out
-
-
-def source_plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = MAX_REPEATS) -> pd.DataFrame:
-    """One row per source: source, source_size, units, target, ratio.
+def ranked(sources: DataFrame, column: str = "source") -> DataFrame:
+    """The sources with ``place``, their number from 0 in code point order, null last.
 
-    Only one row per source comes to the driver.  Sources are in code point
-    order, null last, and take the weights in turn.
+    A range partitioning orders them; only the sizes of its parts come to the driver.
     """
-    rows = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("units")).collect()
-    rows.sort(key=lambda r: (r.source is None, r.source or ""))
-    plan = pd.DataFrame({"source": [r.source for r in rows], "source_size": np.array([r.source_size for r in rows], np.int64), "units": np.array([r.units for r in rows], np.int64)})
-    w = np.array([weights[i % len(weights)] for i in range(len(rows))])
-    size = plan["source_size"].to_numpy()
-    plan["target"] = targets(size, w, float(size.sum()), cap)
-    plan["ratio"] = np.divide(plan["target"], size, out=np.zeros(len(rows)), where=size > 0)
-    return plan
+    order = F.col(column).asc_nulls_last()
+    parts = materialize(sources.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    before, offsets = 0, []
+    for r in sorted(parts.groupBy("part").agg(F.count("*").alias("n")).collect()):
+        offsets += [F.lit(r.part), F.lit(before)]
+        before += r.n
+    if not offsets:
+        return parts.withColumn("place", F.lit(0).cast("long")).drop("part")
+    number = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    return parts.withColumn("place", (F.element_at(F.create_map(*offsets), F.col("part")) + number - 1).cast("long")).drop("part")
+
+
+def with_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_REPEATS) -> DataFrame:
+    """``sources`` (source, source_size, place) with ``target``: shares of all sizes by weight, none above ``cap`` times its size.
+
+    Sources are full in the order of cap over weight, so one number, the level,
+    tells which are; each round is one aggregate that raises it.
+    """
+    weight = F.element_at(F.lit([float(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    table = materialize(sources.withColumn("weight", weight).withColumn("top", F.col("source_size") * cap), "mix-weights")
+    decimal = lambda c: F.sum(c.cast("decimal(38,6)"))
+    total, most = table.agg(F.sum("source_size"), F.sum("top")).first()
+    level, full = 0.0, -1
+    while True:
+        open_ = (F.col("top") > 0) & (F.col("top") > F.col("weight") * level * (1 + 1e-12))
+        n, taken, share = table.agg(F.count_if(~open_), decimal(F.when(~open_, F.col("top"))), decimal(F.when(open_, F.col("weight")))).first()
+        if n == full or not share:
+            break
+        full, level = n, (float(min(total or 0, most or 0)) - float(taken or 0)) / float(share)
+    return table.withColumn("target", F.least(F.col("top").cast("double"), F.col("weight") * level) if level else F.col("top").cast("double")).drop("weight", "top", "place")
 
 
 def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -105,65 +114,69 @@ def _seed(*parts: int) -> np.random.Generator:
     return np.random.Generator(np.random.PCG64([int(x) & 0xFFFFFFFF for x in parts]))
 
 
-_STATE = "unit long, extra long, source string, known boolean, size long, p double, block long"
+_STATE = "unit long, extra long, source string, known boolean, size long, p double, blocks long"
 
 
 def _fly(batch: pd.DataFrame) -> pd.DataFrame:
     # Large units first, so that what stays open at the end is small.
-    batch = batch.sort_values(["size", "unit", "extra"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-    rng = _seed(int(batch["unit"].iat[0]), len(batch), int(batch["size"].sum()))
-    batch["p"] = flight(batch["p"].to_numpy(), batch["size"].to_numpy(), rng)
+    batch = batch.drop(columns="block", errors="ignore").sort_values(["size", "unit", "extra"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+    batch["p"] = flight(batch["p"].to_numpy(), batch["size"].to_numpy(), _seed(int(batch["unit"].iat[0]), len(batch), int(batch["size"].sum())))
     return batch
 
 
-def _land(batch: pd.DataFrame) -> pd.DataFrame:
-    """The last block of a source: flight, then landing near its token total.
+@functools.cache
+def _choices(n: int) -> np.ndarray:
+    return (np.arange(1 << n)[:, None] >> np.arange(n) & 1).astype(np.float32)
 
-    The open units are rounded in the way that comes nearest; then up to
-    ``LANDING_FLIPS`` units of the block change sides while that brings the total
-    nearer, each the best single change (the document total moves by as many).
-    """
-    want = float((batch["p"] * batch["size"]).sum())
-    batch = _fly(batch)
-    p, size = batch["p"].to_numpy().copy(), batch["size"].to_numpy().astype(float)
-    open_ = np.flatnonzero((p > 0) & (p < 1))
-    options = [[(m >> k) & 1 for k in range(len(open_))] for m in range(1 << len(open_))]
-    fixed = float((np.delete(p, open_) * np.delete(size, open_)).sum())
-    p[open_] = min(options, key=lambda o: (abs(fixed + float((np.array(o) * size[open_]).sum()) - want), o)) if len(open_) else []
-    for _ in range(LANDING_FLIPS):
-        over = float((p * size).sum()) - want
-        after = np.abs(over + np.where(p > 0, -size, size))
-        best = int(after.argmin())
-        if after[best] >= abs(over):
-            break
-        p[best] = 1.0 - p[best]
-    batch["p"] = p
+
+def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The best 0 or 1 for a few units: documents within one of sum(p), then tokens nearest sum(p * size)."""
+    choices = _choices(len(p))
+    documents, tokens = choices.sum(1), choices.astype(float) @ size
+    off = np.where(np.abs(documents - p.sum()) < 1, np.abs(tokens - (p * size).sum()), np.inf)
+    return choices[int(off.argmin())].astype(float)
+
+
+def flight_and_landing(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """0 or 1 for each unit of a source's last block, which comes by size."""
+    between = np.flatnonzero((p > 0) & (p < 1))
+    back = between if len(between) <= LANDING + 2 else between[np.linspace(0, len(between) - 1, LANDING).round().astype(int)]
+    rest = np.setdiff1d(np.arange(len(p)), back)
+    out = p.copy()
+    out[rest] = flight(p[rest], size[rest], rng)
+    open_ = np.flatnonzero((out > 0) & (out < 1))
+    out[open_] = land(out[open_], size[open_].astype(float))
+    return out
+
+
+def _last(batch: pd.DataFrame) -> pd.DataFrame:
+    batch = batch.sort_values(["size", "unit", "extra"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+    batch["p"] = flight_and_landing(batch["p"].to_numpy(), batch["size"].to_numpy(), _seed(int(batch["unit"].iat[0]), len(batch), int(batch["size"].sum())))
     return batch
 
 
-def cube_sample(units: DataFrame, counts: dict[str | None, int], block: int = BLOCK) -> DataFrame:
+def cube_sample(units: DataFrame, blocks: int, block: int = BLOCK) -> DataFrame:
     """Columns unit, extra and p (0 or 1) for units with fractional p; totals are kept per source.
 
-    ``units`` has unit, extra (ids that tell rows apart), source, known, size and p.
+    ``units`` has unit, extra (ids that tell rows apart), source, known, size, p and
+    blocks, over how many blocks its source is dealt; ``blocks`` is the most of them.
     """
-    fixed, current, left = [], units, dict(counts)
-    while big := {k: -(-v // block) for k, v in left.items() if v > block}:
-        # Sources that fit one block wait for the landing, where all their units can still help.
-        many = F.coalesce(*[F.when(F.col("source").eqNullSafe(k), F.lit(v)) for k, v in big.items()])
-        dealt = current.withColumn("block", F.pmod(F.xxhash64("unit"), many).cast("long"))
-        flown = materialize(dealt.filter(F.col("block").isNotNull()).groupBy("source", "known", "block").applyInPandas(_fly, _STATE), "mix-flight")
+    fixed, current = [], units
+    while blocks > 1:
+        # Sources that fit one block wait for the landing.
+        dealt = current.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("unit"), F.col("blocks")))
+        flown = materialize(dealt.groupBy("source", "known", "block").applyInPandas(_fly, _STATE), "mix-flight")
         between = (F.col("p") > 0) & (F.col("p") < 1)
         fixed.append(flown.filter(~between))
-        current = dealt.filter(F.col("block").isNull()).drop("block").unionByName(flown.filter(between).drop("block"))
-        left = left | {k: 2 * v for k, v in big.items()}
-    last = current.withColumn("block", F.lit(0).cast("long")).groupBy("source", "known").applyInPandas(_land, _STATE)
-    out = last
+        current = current.filter("blocks <= 1").unionByName(flown.filter(between).withColumn("blocks", F.ceil(2 * F.col("blocks") / block)))
+        blocks = -(-2 * blocks // block)
+    out = current.groupBy("source", "known").applyInPandas(_last, _STATE)
     for f in fixed:
         out = out.unionByName(f)
     return out.select("unit", "extra", "p")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row; taken counts repeats.
 
     A null text has size 0 and is taken 0 times; a null source is a source of its
@@ -171,22 +184,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_RE
     them may be taken more often than another by one repeat.
     """
     sized = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("unit"),
+        F.col(f"`{id_col}`").alias("doc_id"),
+        F.col(f"`{source_col}`").cast("string").alias("source"),
+        F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("unit"),
     )
     sized = materialize(sized.withColumn("extra", F.monotonically_increasing_id()), "mix-sizes")
-    plan = source_plan(sized, weights, cap)
-    if not len(plan):
-        return sized.select("doc_id", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"))
-    spark = docs.sparkSession
-    table = spark.createDataFrame(pa.table({"s": pa.array(list(plan["source"]), pa.string()), "source_size": plan["source_size"], "target": plan["target"], "ratio": plan["ratio"]}))
-    table = table.select("s", "source_size", "target", F.floor(F.col("ratio") + _TINY).cast("long").alias("whole"), (F.col("ratio") - F.floor(F.col("ratio") + _TINY)).alias("part"))
-    rows = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("units"))
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    plan = with_targets(ranked(sources), weights, cap).withColumn("ratio", ratio).withColumn("whole", F.floor(F.col("ratio") + _TINY).cast("long"))
+    plan = materialize(plan.select(F.col("source").alias("s"), "source_size", "target", "whole", (F.col("ratio") - F.col("whole")).alias("part"), F.ceil(F.col("units") / block).alias("blocks")), "mix-plan")
+    # Joined by size: a short table of sources is broadcast, a long one sorted, and a hot source split.
+    rows = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     part = rows.filter((F.col("part") > _TINY) & (F.col("size") > 0))
-    units = part.select("unit", "extra", "source", F.col("source").isNotNull().alias("known"), "size", F.col("part").alias("p"))
-    drawn = cube_sample(units, dict(zip(plan["source"], (int(n) for n in plan["units"]), strict=True)))
+    units = part.select("unit", "extra", "source", F.col("source").isNotNull().alias("known"), "size", F.col("part").alias("p"), "blocks")
+    drawn = cube_sample(units, plan.agg(F.max("blocks")).first()[0] or 0, block)
     out = rows.join(drawn.withColumnRenamed("p", "picked"), ["unit", "extra"], "left")
     times = F.col("whole") + F.coalesce("picked", F.lit(0.0)).cast("long")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))

@@ -1,8 +1,11 @@
 import hashlib
+import itertools
 import random
 
 import numpy as np
+import pytest
 from llm_helpers import make_docs
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillgraph.llm import decontaminate, mixing
@@ -84,11 +87,27 @@ def test_nested_hits_of_several_shards(spark, monkeypatch):
     assert set(kept) == {2} and kept[2] == [*rows[1][1].split()[:570], "end"]
 
 
-def test_targets():
-    t = mixing.targets(np.array([100, 100, 1000]), np.array([5.0, 2.0, 1.0]), 1200)
-    assert np.allclose(t, [300, 300, 600])
-    assert np.allclose(mixing.targets(np.array([10, 10]), np.array([5.0, 2.0]), 20), [100 / 7, 40 / 7])
-    assert np.allclose(mixing.targets(np.array([0, 10]), np.array([5.0, 2.0]), 10), [0, 10])
+def brute_targets(size, weights, cap=3):
+    """The level is raised until all sizes are given out."""
+    top, total = [cap * x for x in size], sum(size)
+    low, high = 0.0, 10.0 * total + 1
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(t, mid * w) for t, w in zip(top, weights)) < total else (low, mid)
+    return [min(t, high * w) for t, w in zip(top, weights)]
+
+
+def test_targets(spark):
+    rng = random.Random(4)
+    for size in ([100, 100, 1000], [10, 10], [0, 10], [7], [0], [rng.randrange(1, 10 ** rng.randrange(1, 6)) for _ in range(100)]):
+        names = sorted({f"s{rng.randrange(10**9)}é" for _ in size} | {f"z{k}" for k in range(len(size))})[: len(size) - 1]
+        rows = list(zip([*names, None], size))
+        df = spark.createDataFrame(rng.sample(rows, len(rows)), "source string, source_size long")
+        got = {r.source: (r.place, r.target) for r in mixing.with_targets(mixing.ranked(df).withColumn("again", F.col("place"))).withColumnRenamed("again", "place").collect()}
+        want = brute_targets(size, [(5, 2, 1)[k % 3] for k in range(len(size))])
+        assert [got[s][0] for s, _ in rows] == list(range(len(rows)))
+        assert np.allclose([got[s][1] for s, _ in rows], want, rtol=1e-9)
+    assert mixing.with_targets(mixing.ranked(df.filter("false"))).count() == 0
 
 
 def test_flight_keeps_both_totals():
@@ -101,7 +120,19 @@ def test_flight_keeps_both_totals():
     assert np.abs(mean - 0.3).max() < 0.06
 
 
-def test_mix(spark, odd, odd_rows, none, monkeypatch):
+def test_landing_is_the_best_of_all_choices():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 6, 9):
+        p, size = rng.random(n), rng.integers(1, 900, n).astype(float)
+        got = mixing.land(p, size)
+        every = [np.array(c) for c in itertools.product((0.0, 1.0), repeat=n) if abs(sum(c) - p.sum()) < 1]
+        assert abs(got.sum() - p.sum()) < 1 and abs(got @ size - p @ size) == pytest.approx(min(abs(c @ size - p @ size) for c in every))
+    p, size = np.full(700, 0.37), np.sort(rng.integers(1, 3000, 700))[::-1]
+    got = mixing.flight_and_landing(p, size, rng)
+    assert set(got) == {0.0, 1.0} and abs(got.sum() - p.sum()) < 1 and abs(got @ size - p @ size) < 100
+
+
+def test_mix(spark, odd, odd_rows, none):
     rng = random.Random(1)
     rows = [(i, "w " * rng.randrange(1, 60), "en", rng.choice(["a", "b", "c", None])) for i in range(900)] + [r for r in odd_rows if len(r[1] or "") < 10_000]
     docs = make_docs(spark, rows)
@@ -112,12 +143,10 @@ def test_mix(spark, odd, odd_rows, none, monkeypatch):
     again = mixing.mix(docs.repartition(7)).toPandas()
     key = ["doc_id", "size", "taken"]
     assert sorted(map(tuple, got[key].astype(str).values)) == sorted(map(tuple, again[key].astype(str).values))
-    blocks = mixing.cube_sample.__defaults__
-    monkeypatch.setattr(mixing.cube_sample, "__defaults__", (64,))
-    many = mixing.mix(docs).toPandas()
+    many = mixing.mix(docs, block=32).toPandas()
     by = many.groupby(["source_size", many.target.round(3)]).agg(target=("target", "first"), taken=("taken", "sum"))
     assert (abs(by.taken - by.target) <= 0.02 * by.target + 120).all()
-    assert blocks == (mixing.BLOCK,) and mixing.mix(none).count() == 0
+    assert mixing.mix(none).count() == 0
 
 
 def test_pipeline_stages(spark, tmp_path):
