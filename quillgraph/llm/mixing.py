@@ -12,8 +12,8 @@ always leave one direction free).  The one or two fractional units of each block
 go on to the next, smaller round of blocks, so totals are kept exactly through
 all rounds.  A source's last block keeps ``LANDING`` units of all sizes back from
 the flight; with the two that it leaves open they are the landing problem, small
-enough to be solved as a whole: of all choices that keep the documents to less
-than one, the one that comes nearest the tokens.
+enough to be solved as a whole: of all choices the one nearest both totals, where
+a document too many or too few beyond one weighs as a mean unit's tokens.
 
 Blocks are dealt by a hash of the document, so reruns agree whatever the
 partitioning, and a source of any size is spread over as many blocks as it needs.
@@ -130,10 +130,10 @@ def _choices(n: int) -> np.ndarray:
 
 
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The best 0 or 1 for a few units: documents within one of sum(p), then tokens nearest sum(p * size)."""
+    """The best 0 or 1 for a few units: near sum(p * size), and within one of sum(p) unless a mean unit's tokens speak for more."""
     choices = _choices(len(p))
-    documents, tokens = choices.sum(1), choices.astype(float) @ size
-    off = np.where(np.abs(documents - p.sum()) < 1, np.abs(tokens - (p * size).sum()), np.inf)
+    over = np.abs(choices.sum(1) - p.sum())
+    off = np.abs(choices.astype(float) @ size - (p * size).sum()) + np.where(over < 1, 0.0, over) * (size.mean() if len(size) else 0.0)
     return choices[int(off.argmin())].astype(float)
 
 
