@@ -10,7 +10,7 @@ The probabilities of a block move along the null space of the two constraints
 until each but two of its units is 0 or 1 (fast flight: three units at a time
 always leave one direction free).  The one or two fractional units of each block
 go on to the next, smaller round of blocks, so totals are kept exactly through
-all rounds.  A source's last block keeps ``LANDING`` units of all sizes back from
+all rounds.  A source's last block keeps ``LANDING`` units, the largest and some of all sizes, back from
 the flight; with the two that it leaves open they are the landing problem, small
 enough to be solved as a whole: of all choices the one nearest both totals, where
 a document too many or too few beyond one weighs as a mean unit's tokens.
@@ -138,9 +138,9 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def flight_and_landing(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """0 or 1 for each unit of a source's last block, which comes by size."""
+    """0 or 1 for each unit of a source's last block, which comes by size: the largest ones and some of all sizes land."""
     between = np.flatnonzero((p > 0) & (p < 1))
-    back = between if len(between) <= LANDING + 2 else between[np.linspace(0, len(between) - 1, LANDING).round().astype(int)]
+    back = between if len(between) <= LANDING + 2 else between[np.concatenate((np.arange(LANDING // 2), np.linspace(LANDING // 2, len(between) - 1, LANDING - LANDING // 2).round().astype(int)))]
     rest = np.setdiff1d(np.arange(len(p)), back)
     out = p.copy()
     out[rest] = flight(p[rest], size[rest], rng)
