@@ -8,26 +8,31 @@ longest run of words ending there that also occurs in some item.  A run of
 one window by itself.  Spans inside occurrences are hit; a document whose hit
 share reaches ``coverage`` is contaminated.
 
-Items are taken in shards of about ``SHARD_BYTES`` of text, by a hash of the
-item, with one automaton each, and the hits of all shards are united.  Shards
-bound a single broadcast, not memory: every task holds the automata of all
-shards at once, and the driver all items, so the item table must fit there.
+Items are taken in shards of about ``SHARD_BYTES`` of text, by a hash of the text.
+The driver builds the automaton of one shard at a time and sends it as flat sorted
+arrays, some 15 bytes for each byte of items; ``SHARDS_PER_PASS`` of them meet in a
+task.  More shards take more passes over the documents, each of which leaves rows
+of documents with hits only; hits of all passes are united by a hash of the text.
+Items of more than ``MAX_ITEM_BYTES`` are refused before anything is fetched.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import column, map_batches, record, with_text
+from quillgraph.llm.common import column, map_batches, materialize, record, with_text
 
 WINDOW = 13
 COVERAGE_PERCENT = 5
-SHARD_BYTES = 16 << 20
+SHARD_BYTES, SHARDS_PER_PASS, MAX_ITEM_BYTES = 2 << 20, 8, 1 << 30
 
 # Words: runs of digits, a-z and code points from U+0080 on, after lower-casing A-Z.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -37,13 +42,8 @@ def normal_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(_NORMAL).split()
 
 
-class _Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 class ItemAutomaton:
-    """Suffix automaton over the word sequences of (item_id, text) pairs."""
+    """Suffix automaton over the word sequences of (item_id, text) pairs, while it grows."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.window = window
@@ -74,7 +74,6 @@ class ItemAutomaton:
             if state in self.held and self.link[state] > 0:
                 self.held.setdefault(self.link[state], set()).update(self.held[state])
         self.least = min((min(len(words), window) for words, _ in worded), default=0)
-        self.ids = _Ids(self.vocab)
         # The nearest state at or above each one where a short item ends.
         self.short_up = [0] * len(self.link)
         for state in sorted(range(1, len(self.link)), key=lambda s: self.length[s]):
@@ -110,12 +109,33 @@ class ItemAutomaton:
             p = link[p]
         return clone
 
+    def compact(self) -> Scanner:
+        return Scanner(self)
+
+
+class Scanner:
+    """The finished automaton in flat arrays: transitions sorted by state and word, and what each state means."""
+
+    def __init__(self, grown: ItemAutomaton):
+        self.window, self.least, self.names, self.vocab = grown.window, grown.least, grown.names, grown.vocab
+        self.width = max(len(grown.vocab), 1)
+        moves = sorted((state * self.width + w, to) for state, out in enumerate(grown.next) for w, to in out.items())
+        self.keys, self.to = array("q", [k for k, _ in moves]), array("i", [t for _, t in moves])
+        self.link, self.length, self.short_up = array("i", grown.link), array("i", grown.length), array("i", grown.short_up)
+        # Items are asked for only where a window or a short item ends.
+        self.held: dict[int, array] = {}
+        for state, own in grown.held.items():
+            if grown.length[state] >= grown.window > grown.length[grown.link[state]]:
+                self.held[state] = array("i", sorted(own))
+        self.short = {state: (n, array("i", sorted(own))) for state, (n, own) in grown.short.items()}
+
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Merged hit spans [start, end) of words, and the places of items with occurring windows."""
         spans: list[tuple[int, int]] = []
         found: set[int] = set()
         if words and self.least:
-            ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+            known = self.vocab.get
+            ids = np.fromiter((known(w, -1) for w in words), np.int64, len(words))
             # A word of no item restarts the automaton, and a shorter stretch between two such words holds no window.
             edges = np.flatnonzero(np.diff(np.concatenate(([0], (ids >= 0).view(np.int8), [0]))))
             for start, end in edges.reshape(-1, 2).tolist():
@@ -124,110 +144,162 @@ class ItemAutomaton:
         return spans, found
 
     def _stream(self, ids: list[int], first: int, spans: list[tuple[int, int]], found: set[int]) -> None:
-        nexts, link, length, window, short_up = self.next, self.link, self.length, self.window, self.short_up
+        keys, to, link, length, window, short_up, width = self.keys, self.to, self.link, self.length, self.window, self.short_up, self.width
         seen: set[int] = set()
-        state = matched = 0
+        state, matched, size = 0, 0, len(self.keys)
         for at, w in enumerate(ids, first):
-            to = nexts[state].get(w)
-            while to is None and state:
+            while True:
+                key = state * width + w
+                place = bisect_left(keys, key)
+                if place < size and keys[place] == key:
+                    state, matched = to[place], matched + 1
+                    break
+                if not state:
+                    break
                 state = link[state]
                 matched = length[state]
-                to = nexts[state].get(w)
-            if to is None:
-                continue
-            state, matched = to, matched + 1
             up = state
             if matched >= window:
                 while length[link[up]] >= window:
                     up = link[up]
                 if up not in seen:
                     seen.add(up)
-                    found |= self.held.get(up, set())
-                self._add(spans, at + 1 - window, at + 1)
+                    found.update(self.held.get(up, ()))
+                _add(spans, at + 1 - window, at + 1)
             # Short items that end here: all on the path of suffix links that fit the match.
             s = short_up[state]
             while s:
                 n, own = self.short[s]
                 if n <= matched:
-                    found |= own
-                    self._add(spans, at + 1 - n, at + 1)
+                    found.update(own)
+                    _add(spans, at + 1 - n, at + 1)
                 s = short_up[link[s]]
 
-    @staticmethod
-    def _add(spans: list[tuple[int, int]], start: int, end: int) -> None:
-        while spans and start <= spans[-1][1]:
-            start = min(start, spans.pop()[0])
-        spans.append((start, end))
+
+def _add(spans: list[tuple[int, int]], start: int, end: int) -> None:
+    while spans and start <= spans[-1][1]:
+        start = min(start, spans.pop()[0])
+    spans.append((start, end))
 
 
-def shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = SHARD_BYTES) -> list[list[tuple[str | None, str | None]]]:
-    """The items on the driver, in shards of about ``limit`` bytes.
+def shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = SHARD_BYTES) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The items on the driver, one shard of about ``limit`` bytes after the other.
 
     One item table is a test set written by people, not a part of the corpus;
     its size is summed before anything is fetched.
     """
-    slim = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
+    slim = items.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").alias("t"))
     total = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    if total > MAX_ITEM_BYTES:
+        raise ValueError(f"{total} bytes of items are more than {MAX_ITEM_BYTES}; split the item table")
     n = max(1, -(-total // limit))
-    return [[(r.i, r.t) for r in slim.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect()] for k in range(n)] if n > 1 else [[(r.i, r.t) for r in slim.collect()]]
+    for k in range(n):
+        yield [(r.i, r.t) for r in (slim.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == k) if n > 1 else slim).collect()]
 
 
-def _scan_all(docs: DataFrame, items: DataFrame, window: int) -> list:
-    """The items of each shard, as broadcasts; tasks build one automaton from each."""
+def _passes(docs: DataFrame, items: DataFrame, window: int) -> list[list]:
+    """Broadcast automata, as many for each pass as a task holds at once."""
     context = docs.sparkSession.sparkContext
-    return [context.broadcast(shard) for shard in shards(items)]
+    sent = [context.broadcast(ItemAutomaton(shard, window).compact()) for shard in shards(items)]
+    return [sent[k : k + SHARDS_PER_PASS] for k in range(0, len(sent), SHARDS_PER_PASS)]
+
+
+def _with_hits(docs: DataFrame, items: DataFrame, window: int, text_col: str, finish, schema) -> DataFrame:
+    """Runs ``finish(batch, found)`` on batches of ``docs``; found has (words, spans, item ids) of each row."""
+    passes = _passes(docs, items, window)
+    if len(passes) == 1:
+
+        def make():
+            automata = [p.value for p in passes[0]]
+            return lambda batch: finish(batch, [(len(w), *_united(automata, w)) for w in map(normal_words, column(batch, text_col))])
+
+        return map_batches(docs, make, schema)
+    keys = {"__qg_a": F.xxhash64(F.col(f"`{text_col}`")), "__qg_b": F.xxhash64(F.lit(1), F.col(f"`{text_col}`"))}
+    texts = docs.select(F.col(f"`{text_col}`").alias("t"), *[v.alias(k) for k, v in keys.items()]).filter("t is not null")
+    parts = [map_batches(texts, _partial(k, p), "__qg_a long, __qg_b long, part struct<k:int,edges:array<int>,names:array<string>>") for k, p in enumerate(passes)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    # Copies of a text leave equal rows, so a set holds one of each pass.
+    merged = materialize(every, "op10-hits").groupBy("__qg_a", "__qg_b").agg(F.collect_set("part").alias("__qg_parts"))
+    joined = docs.withColumns(keys).join(materialize(merged, "op10-merged"), ["__qg_a", "__qg_b"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__qg_parts")
+
+    def make_last():
+        def work(batch: pa.RecordBatch):
+            found = []
+            for text, own in zip(column(batch, text_col), column(batch, "__qg_parts"), strict=True):
+                edges = [p["edges"] for p in own or ()]
+                spans = _merged([(e[k], e[k + 1]) for e in edges for k in range(0, len(e), 2)])
+                found.append((len(normal_words(text)), spans, {n for p in own or () for n in p["names"]}))
+            return finish(batch.drop_columns(["__qg_parts"]), found)
 
+        return work
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = COVERAGE_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row.
+    return map_batches(joined, make_last, schema)
 
-    Null texts have no words.  A null item id still marks words as hit but is
-    not listed; repeated items count once.  No items, or items without words,
-    hit nothing.
-    """
-    parts = _scan_all(docs, items, window)
 
+def _partial(number: int, sent: list):
     def make():
-        automata = [ItemAutomaton(p.value, window) for p in parts]
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for text in column(batch, "text"):
-                words = normal_words(text)
-                spans, names = _united(automata, words)
-                n_hit = sum(b - a for a, b in spans)
-                digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
-                rows.append((len(words), n_hit, len(names), digest, n_hit > 0 and 100 * n_hit >= percent * len(words)))
-            cols = list(zip(*rows, strict=True))
-            return record(
-                doc_id=batch.column(0), n_words=pa.array(cols[0], pa.int64()), n_hit=pa.array(cols[1], pa.int64()), n_items=pa.array(cols[2], pa.int64()),
-                items_sha256=pa.array(cols[3], pa.string()), contaminated=pa.array(cols[4], pa.bool_()),
-            )
+        automata = [p.value for p in sent]
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            rows, parts = [], []
+            for i, text in enumerate(column(batch, "t")):
+                spans, names = _united(automata, normal_words(text))
+                if spans:
+                    rows.append(i)
+                    parts.append({"k": number, "edges": [x for s in spans for x in s], "names": sorted(names)})
+            if not rows:
+                return None
+            take = pa.array(rows)
+            kind = pa.struct([("k", pa.int32()), ("edges", pa.list_(pa.int32())), ("names", pa.list_(pa.string()))])
+            return record(__qg_a=batch.column(1).take(take), __qg_b=batch.column(2).take(take), part=pa.array(parts, kind))
 
         return work
 
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    return map_batches(slim, make, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return make
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    merged: list[tuple[int, int]] = []
+    # Spans of several automata may nest, unlike those of one, whose ends only grow.
+    for start, end in sorted(spans):
+        if merged and start <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+        else:
+            merged.append((start, end))
+    return merged
 
 
-def _united(automata: list[ItemAutomaton], words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+def _united(automata: list[Scanner], words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
     spans: list[tuple[int, int]] = []
     names: set[str] = set()
     for a in automata:
         own, found = a.scan(words)
         spans += own
         names |= {a.names[i] for i in found}
-    if len(automata) > 1:
-        merged: list[tuple[int, int]] = []
-        # Spans of several automata may nest, unlike those of one, whose ends only grow.
-        for start, end in sorted(spans):
-            if merged and start <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
-            else:
-                merged.append((start, end))
-        spans = merged
-    return spans, names
+    return (_merged(spans) if len(automata) > 1 else spans), names
+
+
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = COVERAGE_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row.
+
+    Null texts have no words.  A null item id still marks words as hit but is
+    not listed; repeated items count once.  No items, or items without words,
+    hit nothing.
+    """
+
+    def finish(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        n_hit = [sum(b - a for a, b in spans) for _, spans, _ in found]
+        return record(
+            doc_id=batch.column(0), n_words=pa.array([n for n, *_ in found], pa.int64()), n_hit=pa.array(n_hit, pa.int64()), n_items=pa.array([len(names) for *_, names in found], pa.int64()),
+            items_sha256=pa.array([hashlib.sha256(",".join(sorted(names)).encode()).hexdigest() for *_, names in found], pa.string()),
+            contaminated=pa.array([h > 0 and 100 * h >= percent * n for h, (n, *_) in zip(n_hit, found, strict=True)], pa.bool_()),
+        )
+
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    return _with_hits(slim, items, window, "text", finish, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = COVERAGE_PERCENT, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -239,29 +311,20 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int
     together with the punctuation inside it.  All columns stay; ``length_col``,
     if there, is counted anew for texts that changed.
     """
-    parts = _scan_all(docs, items, window)
     count = length_col if length_col in docs.columns else None
 
-    def make():
-        automata = [ItemAutomaton(p.value, window) for p in parts]
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts, keep, changed = column(batch, text_col), [], False
-            for i, text in enumerate(texts):
-                words = normal_words(text)
-                spans, _ = _united(automata, words)
-                n_hit = sum(b - a for a, b in spans)
-                gone = n_hit > 0 and 100 * n_hit >= percent * len(words)
-                keep.append(not gone)
-                if spans and not gone:
-                    texts[i], changed = cut(text, spans), True
-            if changed:
-                batch = with_text(batch, text_col, texts, count)
-            return batch.filter(pa.array(keep, pa.bool_()))
-
-        return work
-
-    return map_batches(docs, make, docs.schema)
+    def finish(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        texts, keep, changed = column(batch, text_col), [], False
+        for i, (n, spans, _) in enumerate(found):
+            n_hit = sum(b - a for a, b in spans)
+            keep.append(not (n_hit > 0 and 100 * n_hit >= percent * n))
+            if spans and keep[-1]:
+                texts[i], changed = cut(texts[i], spans), True
+        if changed:
+            batch = with_text(batch, text_col, texts, count)
+        return batch.filter(pa.array(keep, pa.bool_()))
+
+    return _with_hits(docs, items, window, text_col, finish, docs.schema)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:

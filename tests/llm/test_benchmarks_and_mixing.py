@@ -32,7 +32,7 @@ def test_automaton_finds_all_windows():
         window, letters = rng.choice((3, 4, 5)), "abc" if n % 2 else "abcdefg"
         items = [(i, " ".join(rng.choice(letters) for _ in range(rng.randrange(12)))) for i in range(rng.randrange(8))]
         text = " ".join(rng.choice(letters + "z") for _ in range(rng.randrange(60)))
-        spans, found = decontaminate.ItemAutomaton(items, window).scan(decontaminate.normal_words(text))
+        spans, found = decontaminate.ItemAutomaton(items, window).compact().scan(decontaminate.normal_words(text))
         _, hit, names, *_ = brute_hits(items, text, window)
         assert sum(b - a for a, b in spans) == hit and len(found) == names
 
@@ -57,6 +57,9 @@ def test_contamination(spark, none, monkeypatch):
     assert read(bench) == want
     monkeypatch.setattr(decontaminate.shards, "__defaults__", ("item_id", "text", 100))
     assert read(bench) == want
+    # Several passes, whose hits meet by the text.
+    monkeypatch.setattr(decontaminate, "SHARDS_PER_PASS", 1)
+    assert read(bench) == want
     assert all(not r[5] for r in read(bench.filter("false"))) and decontaminate.hits(none, bench).count() == 0
 
 
@@ -72,7 +75,9 @@ def test_cleaning(spark):
     assert all(t is None or n == len(t) for _, t, n in got)
 
 
-def test_nested_hits_of_several_shards(spark, monkeypatch):
+@pytest.mark.parametrize("together", [1, 8])
+def test_nested_hits_of_several_shards(spark, monkeypatch, together):
+    monkeypatch.setattr(decontaminate, "SHARDS_PER_PASS", together)
     rng = random.Random(8)
     long = [f"q{k}" for k in range(30)]
     items = [(1, " ".join(long)), *((k, f"a{k} {' '.join(long[k : k + 13])} b{k}") for k in range(2, 9))]
