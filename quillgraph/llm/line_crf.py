@@ -2,30 +2,36 @@
 
 Method: each line with a word is labelled good or bad.  A line's evidence is a
 linear function of its own features and those of the lines before and after it;
-transition weights tie neighbouring labels.  Forward-backward gives each line's
-marginal of being good, and their mean, weighted by line length, is the quality
-of the document.
-
-The field is trained on a bounded sample of labelled documents
-(``SAMPLE_PER_LABEL`` of each label by a hash, texts of at most
-``MAX_TRAIN_BYTES``), all lines of a text with the label of its document, by
-full-batch gradient steps on the penalised conditional likelihood.
+transition weights tie neighbouring labels.  Features are shares of characters,
+repetition within the line, and the mean log odds of its words (hashed) between
+good and bad documents.  Forward-backward gives each line's marginal of being
+good, and their mean, weighted by line length, is the quality of the document.
+
+The field is trained on a sample of labelled documents (about ``SAMPLE_PER_LABEL``
+of each label, by a hash of the id), on all lines of each.  Labels are given for
+documents, so training runs twice: first every line by itself has the label of its
+document; then lines whose own evidence speaks against it change sides, unless most
+of the text would, and the whole field learns, now with neighbours that differ.
+Word odds of a training document come from the other half of the sample.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import column, map_batches
+from quillgraph.llm.common import column, map_batches, record
+from quillgraph.llm.language_id import with_columns
 
 SAMPLE_PER_LABEL = 700
-MAX_TRAIN_BYTES = 1 << 16
 THRESHOLD = 0.3
+# Buckets of word odds, and how much a line's own evidence must speak against its document.
+BUCKETS, AGAINST = 1 << 14, 0.65
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123)) + bytes(range(128, 256))
 _DIGITS = b"0123456789"
@@ -34,6 +40,35 @@ _STOPS = b"!?.,;:"
 _SPACES = b" \t\n\x0b\x0c\r"
 
 
+def bucket(word: bytes) -> int:
+    return zlib.crc32(word) % BUCKETS
+
+
+class _Odds(dict):
+    """Log odds of words, remembered up to a bounded count."""
+
+    def __init__(self, table: np.ndarray):
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, word: bytes) -> float:
+        value = float(self.table[bucket(word)])
+        if len(word) <= 64:
+            if len(self) >= 100_000:
+                self.clear()
+            self[word] = value
+        return value
+
+
+def word_odds(documents: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """Log odds of each bucket between good and bad documents; a document counts a bucket once."""
+    counts = np.full((2, BUCKETS), 0.5)
+    for buckets, y in documents:
+        counts[y, np.unique(buckets)] += 1
+    share = counts / (np.array([sum(y == k for _, y in documents) for k in (0, 1)]) + 1.0)[:, None]
+    return (np.log(share[1]) - np.log(share[0])).astype(np.float32)
+
+
 def line_features(line: bytes) -> list[float]:
     """Features of one line that has a word."""
     words = line.split()
@@ -56,18 +91,20 @@ def line_features(line: bytes) -> list[float]:
     ]
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Matrix of line features with those of both neighbours, and line lengths in bytes."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    lines = [line for line in raw.split(b"\n") if line.strip()]
-    if not lines:
-        return np.empty((0, 0)), np.empty(0)
+def worded_lines(text: str | None) -> list[bytes]:
+    return [line for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n") if line.strip()]
+
+
+def shape(lines: list[bytes]) -> np.ndarray:
+    """Features of each line by itself, without its words' odds."""
     own = np.array([line_features(line) for line in lines])
     again = np.array([float(a == b) for a, b in zip(lines, [None, *lines[:-1]], strict=True)])
-    own = np.column_stack((own, again))
+    return np.column_stack((own, again))
+
+
+def with_neighbours(own: np.ndarray) -> np.ndarray:
     blank = np.zeros((1, own.shape[1]))
-    before, after = np.vstack((blank, own[:-1])), np.vstack((own[1:], blank))
-    return np.hstack((own, before, after)), np.array([len(line) for line in lines], float)
+    return np.hstack((own, np.vstack((blank, own[:-1])), np.vstack((own[1:], blank))))
 
 
 class LineField:
@@ -76,7 +113,11 @@ class LineField:
     def __init__(self, prior: float):
         self.prior = prior
         self.mean = self.scale = self.weights = None
-        self.bias, self.move = 0.0, np.zeros((2, 2))
+        self.bias, self.move, self.odds = 0.0, np.zeros((2, 2)), np.zeros(BUCKETS, np.float32)
+        self._known: _Odds | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_known": None}
 
     @property
     def trained(self) -> bool:
@@ -109,101 +150,189 @@ class LineField:
         """Quality from 0 to 1; the prior for texts without a word or an untrained field."""
         if not self.trained:
             return self.prior
-        x, sizes = features(text)
-        if not len(sizes):
+        lines = worded_lines(text)
+        if not lines:
             return self.prior
-        return float(np.clip((self.marginals(self.evidence(x)) * sizes).sum() / sizes.sum(), 0.0, 1.0))
+        if self._known is None:
+            self._known = _Odds(self.odds)
+        known, words = self._known.__getitem__, [line.split() for line in lines]
+        odds = np.array([sum(map(known, w)) / len(w) for w in words])
+        sizes = np.array([len(line) for line in lines], float)
+        good = self.marginals(self.evidence(with_neighbours(np.column_stack((shape(lines), odds)))))
+        return float(np.clip((good * sizes).sum() / sizes.sum(), 0.0, 1.0))
 
 
-def train(samples: list[tuple[str | None, int]], prior: float, steps: int = 150, rate: float = 0.08, penalty: float = 1e-3) -> LineField:
-    """Fits the field; all sequences run side by side, longest first, so that each step over lines takes a leading part of them."""
-    field = LineField(prior)
-    data = [(features(t)[0].astype(np.float32), y) for t, y in samples]
-    data = sorted(((x, y) for x, y in data if len(x)), key=lambda d: -len(d[0]))
-    if not data or len({y for _, y in data}) < 2:
-        return field
-    sizes, y = np.array([len(x) for x, _ in data]), np.array([v for _, v in data], float)
-    # Line k of all sequences that have one stands in rows at[k] to at[k + 1], so nothing is padded.
-    live = [int((sizes > k).sum()) for k in range(sizes[0])]
-    at = np.concatenate(([0], np.cumsum(live))).tolist()
-    longest, n, d, rows = len(live), len(data), data[0][0].shape[1], at[-1]
-    x = np.empty((rows, d), np.float32)
-    for i, (own, _) in enumerate(data):
-        x[np.array(at[: len(own)]) + i] = own
-    del data
-    field.mean = x.mean(0, dtype=np.float64)
-    field.scale = x.std(0, dtype=np.float64) + 1e-6
-    x -= field.mean.astype(np.float32)
-    x /= field.scale.astype(np.float32)
-    who = np.concatenate([np.arange(m) for m in live])
-    prior_row = np.arange(n, rows) - np.repeat(live[:-1], live[1:])
-    # Each document counts once, however many lines it has, and both labels weigh alike.
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / sizes
-    total, weight, y = weight.sum(), weight[who], y[who]
-    theta = np.zeros(d + 5)
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, steps + 1):
+class Sequences:
+    """Labelled sequences side by side, longest first, so that each step over lines takes a leading part of them.
+
+    Line k of all sequences that have one stands in rows at[k] to at[k + 1], so
+    nothing is padded.
+    """
+
+    def __init__(self, data: list[tuple[np.ndarray, np.ndarray, float]]):
+        self.order = sorted(range(len(data)), key=lambda i: -len(data[i][0]))
+        data = [data[i] for i in self.order]
+        sizes = np.array([len(x) for x, *_ in data])
+        self.live = [int((sizes > k).sum()) for k in range(sizes[0])]
+        self.at = np.concatenate(([0], np.cumsum(self.live))).tolist()
+        self.n, self.rows, self.d = len(data), self.at[-1], data[0][0].shape[1]
+        self.x, self.y, weight = np.empty((self.rows, self.d), np.float32), np.empty(self.rows), np.empty(self.rows)
+        self.places = [np.array(self.at[:m]) + i for i, m in enumerate(sizes)]
+        for own, (x, y, w) in zip(self.places, data, strict=True):
+            self.x[own], self.y[own], weight[own] = x, y, w
+        self.weight, self.total = weight, weight.sum()
+        self.before = np.arange(self.n, self.rows) - np.repeat(self.live[:-1], self.live[1:])
+
+    def gradient(self, theta: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+        """Penalised conditional log-likelihood per unit of weight, and its gradient.
+
+        All lines of a sequence weigh alike.
+        """
+        at, live, n, d, weight, y = self.at, self.live, self.n, self.d, self.weight, self.y
         w, bias, move = theta[:d], theta[d], theta[d + 1 :].reshape(2, 2)
-        gain, a = np.exp(np.clip(x @ w.astype(np.float32) + bias, -30, 30)), np.exp(move)
-        fwd, back = np.empty((rows, 2)), np.empty((rows, 2))
+        evidence = np.clip(self.x @ w.astype(np.float32) + bias, -30, 30).astype(float)
+        gain, a = np.exp(evidence), np.exp(move)
+        fwd, back, norm = np.empty((self.rows, 2)), np.empty((self.rows, 2)), np.empty(self.rows)
         fwd[:n] = np.stack((np.ones(n), gain[:n]), 1)
-        fwd[:n] /= fwd[:n].sum(1, keepdims=True)
-        for k in range(1, longest):
+        norm[:n] = fwd[:n].sum(1)
+        fwd[:n] /= norm[:n, None]
+        for k in range(1, len(live)):
             nxt = fwd[at[k - 1] : at[k - 1] + live[k]] @ a
             nxt[:, 1] *= gain[at[k] : at[k + 1]]
-            fwd[at[k] : at[k + 1]] = nxt / nxt.sum(1, keepdims=True)
+            norm[at[k] : at[k + 1]] = nxt.sum(1)
+            fwd[at[k] : at[k + 1]] = nxt / norm[at[k] : at[k + 1], None]
         last = np.full((n, 2), 0.5)
-        for k in range(longest - 1, -1, -1):
+        for k in range(len(live) - 1, -1, -1):
             msg = back[at[k] : at[k + 1]] = last[: live[k]]
             new = (msg * np.stack((np.ones(live[k]), gain[at[k] : at[k + 1]]), 1)) @ a.T
             last[: live[k]] = new / new.sum(1, keepdims=True)
         good = fwd * back
         good = good[:, 1] / good.sum(1)
         back[:, 1] *= gain
-        pair = fwd[prior_row][:, :, None] * a[None] * back[n:, None, :]
-        expected = (pair * (weight[n:] / pair.sum((1, 2)))[:, None, None]).sum(0)
+        pair = fwd[self.before][:, :, None] * a[None] * back[n:, None, :]
+        later = weight[n:]
+        expected = (pair * (later / pair.sum((1, 2)))[:, None, None]).sum(0)
+        now, then = y[n:], y[self.before]
+        observed = np.array([[(later * (1 - then) * (1 - now)).sum(), (later * (1 - then) * now).sum()], [(later * then * (1 - now)).sum(), (later * then * now).sum()]])
         miss = (y - good) * weight
-        observed = np.zeros((2, 2))
-        observed[1, 1], observed[0, 0] = (weight * y)[n:].sum(), (weight * (1 - y))[n:].sum()
-        grad = np.concatenate((miss.astype(np.float32) @ x, [miss.sum()], (observed - expected).ravel())) / total - penalty * theta
+        value = ((weight * (y * evidence - np.log(norm))).sum() + (observed * move).sum()) / self.total - penalty / 2 * (theta**2).sum()
+        return value, np.concatenate((miss.astype(np.float32) @ self.x, [miss.sum()], (observed - expected).ravel())) / self.total - penalty * theta
+
+
+def _climb(sequences: Sequences, theta: np.ndarray, steps: int, rate: float, penalty: float, chain: bool = True) -> np.ndarray:
+    """Gradient steps; without ``chain`` the transitions stay as they are."""
+    first, second = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, steps + 1):
+        grad = sequences.gradient(theta, penalty)[1]
+        if not chain:
+            grad[-4:] = 0.0
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
-        theta += rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        theta = theta + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+    return theta
+
+
+def line_labels(alone: np.ndarray, sizes: np.ndarray, y: int) -> np.ndarray:
+    """Labels of a document's lines: its own label, but for lines whose chance of being good clearly says otherwise."""
+    out = np.full(len(sizes), float(y))
+    turned = alone < 1 - AGAINST if y else alone > AGAINST
+    if turned.any() and 2 * sizes[turned].sum() < sizes.sum():
+        out[turned] = 1.0 - y
+    return out
+
+
+def train(samples: list[tuple[np.ndarray, np.ndarray, list[np.ndarray], int]], prior: float, steps: int = 120, rate: float = 0.08, penalty: float = 1e-3) -> LineField:
+    """Fits the field to (line shapes, line sizes, word buckets of each line, label of the document)."""
+    field = LineField(prior)
+    samples = [d for d in samples if len(d[1])]
+    if len({d[3] for d in samples}) < 2:
+        return field
+    held = [(np.concatenate(words), y) for _, _, words, y in samples]
+    field.odds = word_odds(held)
+    y = np.array([d[3] for d in samples], float)
+    # Both halves have as many of each label.
+    half = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0)) % 2
+    odds = [word_odds([d for d, h in zip(held, half, strict=True) if h != k]) for k in (0, 1)]
+    x = [with_neighbours(np.column_stack((own, [odds[h][w].mean() for w in words]))) for (own, _, words, _), h in zip(samples, half, strict=True)]
+    rows = np.concatenate(x)
+    field.mean, field.scale = rows.mean(0), rows.std(0) + 1e-6
+    x = [((own - field.mean) / field.scale).astype(np.float32) for own in x]
+    # Each document counts once, however many lines it has, and both labels weigh alike.
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / [len(own) for own in x]
+    labels = [np.full(len(own), v) for own, v in zip(x, y, strict=True)]
+    theta = np.zeros(x[0].shape[1] + 5)
+    d = x[0].shape[1]
+    theta = _climb(Sequences(list(zip(x, labels, weight, strict=True))), theta, steps, rate, penalty, chain=False)
+    alone = [1 / (1 + np.exp(-np.clip(own @ theta[:d] + theta[d], -30, 30))) for own in x]
+    labels = [line_labels(p, sizes, v) for p, (_, sizes, _, v) in zip(alone, samples, strict=True)]
+    theta = _climb(Sequences(list(zip(x, labels, weight, strict=True))), theta, steps, rate, penalty)
     field.weights, field.bias, field.move = theta[:d], float(theta[d]), theta[d + 1 :].reshape(2, 2)
     return field
 
 
+def prepared(text: str | None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Line shapes, line sizes and word buckets of a whole text."""
+    lines = worded_lines(text)
+    return (shape(lines) if lines else np.empty((0, 0))), np.array([len(x) for x in lines], float), [np.array([bucket(w) for w in line.split()], np.int32) for line in lines]
+
+
 def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = SAMPLE_PER_LABEL) -> LineField:
-    """Trains on a bounded sample of the labelled ids that satisfy ``where`` (written on column ``id``).
+    """Trains on about ``per_label`` of the labelled ids of each label that satisfy ``where`` (written on column ``id``).
 
-    Labels other than 0 and 1, and ids with both, are left out.
+    Labels other than 0 and 1, and ids with both, are left out; of several texts
+    of one id one is taken.  Lines are read on the executors; what they are made
+    of, numbers for each line and word of the sample, comes to the driver.
     """
-    named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("id").isNotNull() & (F.lit(True) if where is None else where))
+    named = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("id").isNotNull() & (F.lit(True) if where is None else where))
     named = named.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).filter("y = top").drop("top")
     shares = {r.y: r.n for r in named.groupBy("y").agg(F.count("*").alias("n")).collect()}
     prior = shares.get(1, 0) / sum(shares.values()) if shares else 0.5
-    first = lambda y: named.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_label)
-    ranked = first(0).unionByName(first(1))
-    # At most twice per_label ids, so they can go to every task.
-    texts = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")).filter(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(ranked), F.col("own") == F.col("id"))
-    rows = sorted(((r.id, r.text, r.y) for r in texts.select("id", "text", "y").collect()), key=lambda r: (str(r[0]), r[1]))
-    return train([(t, y) for _, t, y in rows], prior)
+    # A cut through a hash of the ids: nothing is sorted, and the sample can go to every task.
+    cut = F.when(F.col("y") == 1, F.lit(_cut(per_label, shares.get(1, 0)))).otherwise(F.lit(_cut(per_label, shares.get(0, 0))))
+    sample = F.broadcast(named.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < cut))
+    texts = docs.select(F.col(f"`{id_col}`").alias("own"), F.col(f"`{text_col}`").alias("text")).join(sample, F.col("own") == F.col("id"))
+    texts = texts.groupBy("id", "y").agg(F.min("text").alias("text"))
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = [prepared(t) for t in column(batch, "text")]
+            words = [np.concatenate(w) if w else np.empty(0, np.int32) for *_, w in rows]
+            return record(
+                id=batch.column(0), y=batch.column(1), shapes=pa.array([r[0].ravel() for r in rows], pa.list_(pa.float64())), sizes=pa.array([r[1] for r in rows], pa.list_(pa.float64())),
+                counts=pa.array([[len(w) for w in r[2]] for r in rows], pa.list_(pa.int32())), words=pa.array(words, pa.list_(pa.int32())),
+            )
+
+        return work
+
+    kind = texts.schema["id"].dataType.simpleString()
+    got = map_batches(texts, make, f"id {kind}, y int, shapes array<double>, sizes array<double>, counts array<int>, words array<int>").toArrow()
+    samples = []
+    for i in sorted(range(len(got)), key=lambda i: str(got["id"][i].as_py())):
+        sizes, counts = (np.asarray(got[c][i].values) for c in ("sizes", "counts"))
+        shapes, words = (np.asarray(got[c][i].values) for c in ("shapes", "words"))
+        samples.append((shapes.reshape(len(sizes), -1), sizes, np.split(words, np.cumsum(counts)[:-1]) if len(counts) else [], got["y"][i].as_py()))
+    return train(samples, prior)
+
+
+def _cut(wanted: int, there: int) -> int:
+    return min(1 << 30, -(-wanted * (1 << 30) // max(there, 1)))
 
 
 def score(docs: DataFrame, field: LineField, threshold: float = THRESHOLD, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """The columns of ``keep`` with score and predicted for every row.
 
     A null or empty text, or one without words, gets the share of good labels.
+    Columns named score or predicted are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    names = docs.columns if keep is None else keep
-    slim = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("__text"))
-    schema = slim.drop("__text").schema.add("score", "double").add("predicted", "integer")
+    names = with_columns(docs, docs.columns if keep is None else keep, ["score", "predicted"])
+    slim = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("__qg_text"))
+    schema = slim.drop("__qg_text").schema.add("score", "double").add("predicted", "integer")
 
     def make():
         own = shared.value
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [own.score(t) for t in column(batch, "__text")]
+            found = [own.score(t) for t in column(batch, "__qg_text")]
             return pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(found, pa.float64()), pa.array([int(s >= threshold) for s in found], pa.int32())], names=[*names, "score", "predicted"])
 
         return work

@@ -217,20 +217,60 @@ def test_quality_on_held_out_rows(spark, odd, none):
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(150)] + [(0, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     docs = make_docs(spark, rows)
     field = line_crf.fit(docs, labels, F.col("id") < 100)
-    got = {r.doc_id: (r.p, r.predicted) for r in line_crf.score(docs.withColumnRenamed("score", "other"), field, keep=["doc_id"]).withColumnRenamed("score", "p").collect()}
+    got = {r.doc_id: (r.p, r.predicted) for r in line_crf.score(docs, field, keep=["doc_id"]).withColumnRenamed("score", "p").collect()}
     assert all(got[i][1] == int(i % 3 > 0) for i in range(100, 150)) and all(0 <= p <= 1 for p, _ in got.values())
     assert line_crf.score(odd, field, keep=["doc_id"]).count() == odd.count() and line_crf.score(none, field, keep=["doc_id"]).count() == 0
     assert field.score(None) == field.score("") == field.score(" \n ") == field.prior
+    twice = line_crf.score(docs, field)
+    assert twice.columns.count("score") == 1 and 0 <= twice.first().score <= 1
     untrained = line_crf.fit(none, labels.filter("false"))
     assert untrained.score("text") == 0.5
 
 
+def samples_of(rows):
+    return [(*line_crf.prepared(t), y) for t, y in rows]
+
+
 def test_training_reads_whole_texts():
     rng = random.Random(10)
     clean = lambda n: [" ".join(words(rng, 12)).capitalize() + "." for _ in range(n)]
     junk = lambda n: [" ".join(f"{w.upper()}!!" for w in words(rng, 12)) for _ in range(n)]
-    sample = [("\n".join(clean(rng.randrange(50, 90)) + (clean if i % 2 else junk)(60 + i)), i % 2) for i in range(20)]
-    field = line_crf.train(sample, 0.5)
-    cut = line_crf.train([("\n".join(t.split("\n")[:40]), y) for t, y in sample], 0.5)
+    sample = [("\n".join(clean(rng.randrange(50, 60)) + (clean if i % 2 else junk)(90 + i)), i % 2) for i in range(20)]
+    field = line_crf.train(samples_of(sample), 0.5)
+    cut = line_crf.train(samples_of([("\n".join(t.split("\n")[:40]), y) for t, y in sample]), 0.5)
     assert not np.allclose(field.weights, cut.weights)
-    assert field.score("\n".join(junk(30))) < 0.1 < 0.6 < field.score("\n".join(clean(30)))
+    mixed = clean(30) + junk(30)
+    assert field.score("\n".join(junk(30))) < 0.1 < 0.7 < field.score("\n".join(clean(30)))
+    # Lines of bad documents that look good change sides, so the field follows changes inside a text.
+    assert 0.2 < field.score("\n".join(mixed)) < 0.8
+
+
+def test_gradient_is_that_of_the_likelihood():
+    from itertools import product
+
+    rng = np.random.default_rng(1)
+    data = [(rng.normal(size=(n, 3)).astype(np.float32), rng.integers(0, 2, n).astype(float), w) for n, w in ((1, 0.7), (4, 0.2), (3, 1.1), (4, 0.5))]
+    sequences, theta = line_crf.Sequences(data), rng.normal(size=8)
+
+    def value(t):
+        total = 0.0
+        move = t[4:].reshape(2, 2)
+        for x, y, w in data:
+            u = x @ t[:3] + t[3]
+            score = lambda z: sum(a * b for a, b in zip(z, u)) + sum(move[int(a), int(b)] for a, b in zip(z, z[1:]))
+            total += w * (score(y) - np.log(sum(np.exp(score(z)) for z in product((0.0, 1.0), repeat=len(y)))))
+        return total / sum(w * len(y) for _, y, w in data) - 0.01 / 2 * (t**2).sum()
+
+    got, grad = sequences.gradient(theta, 0.01)
+    assert got == pytest.approx(value(theta), abs=1e-5)
+    slope = [(value(theta + h) - value(theta - h)) / 2e-5 for h in np.eye(8) * 1e-5]
+    assert np.allclose(grad, slope, atol=1e-4)
+    best = line_crf._climb(sequences, np.zeros(8), 600, 0.05, 0.01)
+    assert np.abs(sequences.gradient(best, 0.01)[1]).max() < 2e-3
+
+
+def test_line_labels():
+    label = line_crf.line_labels
+    sizes = np.array([10.0, 10.0, 30.0])
+    assert label(np.array([0.99, 0.5, 0.1]), sizes, 0).tolist() == [1, 0, 0] and label(np.array([0.01, 0.5, 0.9]), sizes, 1).tolist() == [0, 1, 1]
+    assert label(np.array([0.1, 0.99, 0.99]), sizes, 0).tolist() == [0, 0, 0]
