@@ -3,9 +3,15 @@
 Base rules count words, symbols, repeated lines and repeated three-word windows.
 The method compares two multinomials over hashed words and word pairs: one of
 trusted target texts, one of the raw corpus.  The mean log ratio per n-gram says
-how much more a text looks like the target; texts under a fixed threshold are
-rejected.  The corpus counts cover every document.  The target is a bounded
-sample of trusted documents (``TARGET_DOCS`` ids by a hash, labelled good and not toxic).
+how much more a text looks like the target.  Both count whole texts: the corpus all
+documents, the target all trusted ones (labelled good and not toxic).  The ratio of
+an n-gram counts in full only where the corpus has seen it often: with n
+occurrences it weighs n / (n + ``RARE``), so that texts are not judged by what
+nobody else says.
+
+The threshold comes from the target itself: ``SPREAD`` standard deviations under the
+mean of the trusted documents' ratios, from sums of whole millionths, which do not
+depend on the order of the rows.
 """
 
 from __future__ import annotations
@@ -15,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import HashMemo, column, compose, map_batches, mix, ngram_hashes, record
+from quillgraph.llm.common import HashMemo, bound_batches, column, compose, give_back, map_batches, mix, ngram_hashes, record, slices
 
-BUCKETS_LOG2 = 14
-TARGET_DOCS = 4000
-THRESHOLD = -0.06
+BUCKETS_LOG2 = 20
+RARE = 20.0
+SPREAD = 4.0
+_MILLION = 1_000_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 _SYMBOLS = b"#*$%&|<>"
@@ -52,46 +59,69 @@ def base_counts(text: str | None, memo: HashMemo) -> tuple[np.ndarray, int, int,
     return words, len(text) - len(raw) + len(raw.translate(None, _SPACES)), len(raw) - len(raw.translate(None, _SYMBOLS)), len(lines) - len(set(lines)), repeats
 
 
-def target_ids(labels: DataFrame, limit: int = TARGET_DOCS) -> DataFrame:
-    """At most ``limit`` trusted document ids, the first by hash."""
-    good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select("doc_id")
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).distinct()
+def target_ids(labels: DataFrame) -> DataFrame:
+    """The ids of all trusted documents."""
+    good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
+    return good.select("doc_id").distinct()
+
+
+def _trusting(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    # A short list of ids is broadcast, a long one sorted with the documents.
+    ids = trusted.select(F.col("doc_id").alias("__qg_id"), F.lit(True).alias("__qg_good"))
+    return docs.select(F.col(f"`{id_col}`").alias("__qg_own"), F.col(f"`{text_col}`").alias("text")).join(ids, F.col("__qg_own") == F.col("__qg_id"), how).select("text", F.col("__qg_good").isNotNull().alias("good"))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Log of target over raw probability of each bucket, add-one smoothed.
+    """Log of target over raw probability of each bucket, add-one smoothed and shrunk where the corpus has little.
 
-    ``trusted`` holds a bounded number of ids and is broadcast.  Without any
-    trusted document all ratios are 0.
+    Without any trusted document all ratios are 0.
     """
-    ids = F.broadcast(trusted.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__good")))
-    marked = docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("text")).join(ids, F.col("__own") == F.col("__id"), "left").select("text", F.col("__good").isNotNull().alias("good"))
+    marked = _trusting(docs, trusted, id_col, text_col, "left")
+    bound_batches(docs.sparkSession)
     size = 1 << BUCKETS_LOG2
 
     def count(batches):
         memo, raw, good = HashMemo(), np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
-            for text, trust in zip(column(batch, "text"), column(batch, "good"), strict=True):
-                if text:
-                    got = np.bincount(hashed_ngrams(memo.array(text.encode("utf-8", "surrogatepass").split())), minlength=size)
-                    raw += got
-                    if trust:
-                        good += got
+            for part in slices(batch):
+                for into, keep in ((raw, None), (good, column(part, "good"))):
+                    texts = [t for k, t in enumerate(column(part, "text")) if t and (keep is None or keep[k])]
+                    if texts:
+                        into += np.bincount(np.concatenate([hashed_ngrams(memo.array(t.encode("utf-8", "surrogatepass").split())) for t in texts]), minlength=size)
         some = np.flatnonzero(raw)
-        yield record(bucket=pa.array(some, pa.int64()), raw=pa.array(raw[some]), good=pa.array(good[some]))
+        for at in range(0, len(some), 1 << 16):
+            own = some[at : at + (1 << 16)]
+            yield record(bucket=pa.array(own, pa.int32()), raw=pa.array(raw[own]), good=pa.array(good[own]))
+        give_back()
 
     # At most 2^BUCKETS_LOG2 rows come to the driver, whatever the input.
-    total = marked.mapInArrow(count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw"), F.sum("good")).collect()
-    raw, good = np.ones(size), np.ones(size)
-    for bucket, n, m in total:
-        raw[bucket] += n
-        good[bucket] += m
-    if good.sum() == size:
-        return np.zeros(size)
-    return np.log(good / good.sum()) - np.log(raw / raw.sum())
+    total = marked.mapInArrow(count, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
+    raw, good = np.zeros(size), np.zeros(size)
+    at = total["bucket"].to_numpy()
+    raw[at], good[at] = total["raw"].to_numpy(), total["good"].to_numpy()
+    if not good.any():
+        return no_ratios()
+    ratio = np.log((good + 1) / (good.sum() + size)) - np.log((raw + 1) / (raw.sum() + size))
+    return (ratio * raw / (raw + RARE)).astype(np.float32)
+
+
+def no_ratios() -> np.ndarray:
+    """Ratios that speak for nothing."""
+    return np.zeros(1 << BUCKETS_LOG2, np.float32)
+
+
+def target_threshold(docs: DataFrame, trusted: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> float:
+    """``SPREAD`` deviations under the mean ratio of the trusted documents that have words; minus infinity without any."""
+    own = _trusting(docs, trusted, id_col, text_col, "inner").select(F.lit(0).alias("doc_id"), "text")
+    llr = F.round(F.col("llr") * _MILLION).cast("long")
+    found = apply_rules(own, ratios, 0.0).filter("n_words > 0").agg(F.count("*").alias("n"), F.sum(llr).alias("one"), F.sum((llr * llr).cast("decimal(38,0)")).alias("two")).first()
+    if not found.n:
+        return float("-inf")
+    mean = found.one / found.n
+    return (mean - SPREAD * max(0.0, float(found.two) / found.n - mean * mean) ** 0.5) / _MILLION
 
 
-def apply_rules(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def apply_rules(docs: DataFrame, ratios: np.ndarray, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
 
     A null or empty text has no words, an llr of 0, and fails the base rules.
@@ -115,6 +145,6 @@ def apply_rules(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOL
 
         return work
 
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     return map_batches(slim, make, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean")

@@ -26,9 +26,19 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = docs_of(spark, sf_dir)
-    ratios = quality_rules.log_ratios(docs, quality_rules.target_ids(docs_of(spark, sf_dir, "labels")))
-    return quality_rules.apply_rules(docs, ratios)
+    docs, trusted = docs_of(spark, sf_dir), quality_rules.target_ids(docs_of(spark, sf_dir, "labels"))
+    ratios = quality_rules.log_ratios(docs, trusted)
+    return quality_rules.apply_rules(docs, ratios, quality_rules.target_threshold(docs, trusted, ratios))
+
+
+def quality_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op4 that SQL can express."""
+    return quality_rules.apply_rules(docs_of(spark, sf_dir), quality_rules.no_ratios(), 0.0).drop("llr", "kept")
+
+
+def secret_base_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base patterns of op7."""
+    return secret_scan.base_spans(docs_of(spark, sf_dir)).select("doc_id", *secret_scan.BASE_COLUMNS)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +83,12 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_decontaminate": op10_decontaminate,
+    "quality_base_rules": quality_base_rules,
+    "secret_base_patterns": secret_base_patterns,
 }
 
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
 # Words of a text as op10 takes them: lower-case A-Z, then split at everything else below U+0080.
 _OP10_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
@@ -92,6 +106,33 @@ kept AS (
   FROM places LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
+""",
+    "quality_base_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+lines AS (
+  SELECT doc_id, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+windows AS (SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM twice) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+  len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
+FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)
+""",
+    "secret_base_patterns": r"""
+WITH p(k, kind, re) AS (VALUES
+  (0, 'assign', '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  (1, 'access', '(AKIA)([A-Z0-9]{16,})'), (2, 'hex', '()([0-9a-f]{24,})')),
+t AS (SELECT doc_id, k, kind, re, coalesce(text, '') AS s FROM documents, p),
+cut AS (
+  SELECT doc_id, k, kind, unnest(regexp_extract_all(s, re, 0)) AS v, unnest(regexp_extract_all(s, re, 2)) AS g, unnest(string_split_regex(s, re)) AS piece, unnest(range(1, len(s) + 2)) AS i
+  FROM t WHERE regexp_matches(s, re)),
+placed AS (SELECT doc_id, k, kind, v, g, sum(length(piece) + length(v)) OVER (PARTITION BY doc_id, k ORDER BY i) AS e FROM cut WHERE v IS NOT NULL),
+kept AS (SELECT doc_id, k, kind, e - length(v) AS a, e FROM placed WHERE k > 0 OR length(g) >= 6)
+SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, k), '')) AS base_sha256
+FROM documents LEFT JOIN kept USING (doc_id) GROUP BY doc_id
 """,
     "op10_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_OP10_WORDS} AS w FROM documents),

@@ -181,6 +181,22 @@ def scored(value: Column, ratios: np.ndarray) -> Column:
     return F.aggregate(_let(F.transform(F.split(value, ""), lambda c: F.get(places, F.ascii(c))), steps), F.lit(0.0), lambda acc, x: acc + x) / n
 
 
+BASE_COLUMNS = ("n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, __text, base (ranked spans of the base patterns), their numbers and digest."""
+    text = F.col("__text")
+    found = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
+    found = found.withColumns({"assign": F.filter(spans(text, ASSIGN), lambda s: _long_enough(s["value"])), "access": spans(text, ACCESS), "hex": spans(text, HEX)})
+    found = found.withColumn("base", F.concat(_ranked(F.col("assign"), "assign"), _ranked(F.col("access"), "access"), _ranked(F.col("hex"), "hex")))
+    return found.select(
+        "doc_id", "__text", "base",
+        F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"),
+        F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
+    )
+
+
 def scan(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random for every row.
 
@@ -189,20 +205,10 @@ def scan(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD, id_c
     spans blanked out, one kind after the other.
     """
     text = F.col("__text")
-    found = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
-    found = found.withColumns({"assign": F.filter(spans(text, ASSIGN), lambda s: _long_enough(s["value"])), "access": spans(text, ACCESS), "hex": spans(text, HEX)})
+    found = base_spans(docs, id_col, text_col)
     every = lambda _: F.lit(True)
-    # Most texts have no long run at all and are not rewritten.
     rest = _let(masked(text, ASSIGN, _long_enough), lambda t: _let(masked(t, ACCESS, every), lambda u: masked(u, HEX, every)))
     random = _let(rest, lambda t: F.filter(spans(t, CANDIDATE), lambda c: (F.size(F.array_distinct(F.split(c["value"], ""))) >= MIN_KINDS) & (scored(c["value"], ratios) > threshold)))
+    # Most texts have no long run at all and are not rewritten.
     found = found.withColumn("random", F.when(text.rlike(CANDIDATE), random).otherwise(F.array().cast(_PLACE)))
-    base = F.concat(_ranked(F.col("assign"), "assign"), _ranked(F.col("access"), "access"), _ranked(F.col("hex"), "hex"))
-    return found.withColumn("base", base).select(
-        "doc_id",
-        F.size("assign").cast("long").alias("n_assign"),
-        F.size("access").cast("long").alias("n_access"),
-        F.size("hex").cast("long").alias("n_hex"),
-        F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
-        _listed(F.concat("base", _ranked(F.col("random"), "random"))).alias("spans"),
-        F.size("random").cast("long").alias("n_random"),
-    )
+    return found.select("doc_id", *BASE_COLUMNS, _listed(F.concat("base", _ranked(F.col("random"), "random"))).alias("spans"), F.size("random").cast("long").alias("n_random"))

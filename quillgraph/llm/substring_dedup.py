@@ -13,7 +13,8 @@ anchor is extended to both sides: a run that equals an earlier document's run of
 the anchor matches over its whole length, and a run that is the first of its kind
 is extended place by place (so many words to the left, the rest to the right)
 against all other kinds of its anchor.  Each match names the smallest document
-that holds the words and where.  No pair of documents is formed, so the work is
+that holds the words and a place there (in a text that repeats itself any of
+several).  No pair of documents is formed, so the work is
 linear in the occurrences, however many documents share a passage.
 
 Maximal repeats.  Matches of neighbouring anchors with the same source on the same
