@@ -10,13 +10,17 @@ read that array and never encode again.
 
 Texts are cut into pieces by the vocabulary's own pattern.  A piece never spans
 white space but for one leading blank, so most texts are read as blank-separated
-words whose counts are remembered; any other white space takes the general path.
+words, whose prefix counts are stored: the words' last entries add up to the count
+of the text, and where a budget ends is found among these sums and then in one
+word's own entries.  Any other white space takes the general path.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
+from bisect import bisect_right
 
 import ahocorasick
 import numpy as np
@@ -32,12 +36,15 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 CONTRACTIONS = ("'re", "'ve", "'ll")
 
 TOKEN_LIMIT = 1024
-_MEMO = 600_000
+_MEMO, _MEMO_WORD = 200_000, 64
 _NEVER = 1 << 60
 # White space other than single blanks and single line feeds between words.
 _OTHER_SPACE = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]|  | \n|\n |\n\n|^[ \n]|[ \n]$")
 
 
+_BLANK = regex.compile(r"\s+").fullmatch
+
+
 def byte_symbols() -> dict[str, int]:
     """Stand-in character of each byte: printable ones themselves, others from U+0100 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -69,7 +76,7 @@ class PrefixCounter:
         self.pieces = regex.compile(PIECES)
         self._spines: tuple[dict, dict] = ({}, {})
         self._stable: dict[tuple[int, int], bool] = {}
-        self._totals: dict[str, int] = {}
+        self._stored: dict[str, array] = {}
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The token's parts along its inner edge, smallest first, each with the rank that absorbs it."""
@@ -140,34 +147,44 @@ class PrefixCounter:
         return sum(self._piece_total(p) for p in self.pieces.findall(text))
 
     def _piece_total(self, piece: str) -> int:
-        data = piece.encode("utf-8", "replace")
-        return 1 if data in self.vocab else self.piece(data)[-1]
-
-    def _word_total(self, word: str) -> int:
-        if len(self._totals) >= _MEMO:
-            self._totals.clear()
-        out = self._totals[word] = self._total(word)
+        return self.piece(piece.encode("utf-8", "replace"))[-1]
+
+    def _word(self, word: str) -> array:
+        """Token counts of all prefixes of a word with what precedes it, stored up to a bounded count."""
+        out = array("i", [0])
+        self._fill(word, out, 0)
+        if len(word) <= _MEMO_WORD:
+            if len(self._stored) >= _MEMO:
+                self._stored.clear()
+            self._stored[word] = out
         return out
 
     def count(self, text: str | None) -> int:
         """Tokens of a whole text; special strings count one token each."""
-        if not text:
-            return 0
-        if self.special and self.special.search(text):
-            parts = self.special.split(text)
-            return len(parts) - 1 + sum(map(self._plain, parts))
-        return self._plain(text)
+        return self.count_and_cut(text, _NEVER)[0]
 
-    def _plain(self, text: str) -> int:
+    def count_and_cut(self, text: str | None, budget: int) -> tuple[int, int]:
+        """Tokens of a whole text, and the most characters whose encoding stays within the budget."""
         if not text:
-            return 0
-        if _OTHER_SPACE.search(text):
-            return self._total(text)
-        known, total = self._totals.get, 0
-        for key in self._keys(text):
-            n = known(key)
-            total += self._word_total(key) if n is None else n
-        return total
+            return 0, 0
+        if (self.special and self.special.search(text)) or _OTHER_SPACE.search(text):
+            n = self._whole(text)
+            return n, len(text) if n <= budget else int(np.flatnonzero(self.prefixes(text) <= budget)[-1])
+        stored, keys, total, ends = self._stored.get, self._keys(text), 0, []
+        for key in keys:
+            total += (stored(key) or self._word(key))[-1]
+            ends.append(total)
+        if total <= budget:
+            return total, len(text)
+        # The last word that begins within the budget; what is left of it is read from its own entries.
+        k = bisect_right(ends, budget)
+        before = ends[k - 1] if k else 0
+        own = stored(keys[k]) or self._word(keys[k])
+        return total, sum(map(len, keys[:k])) + max(i for i, n in enumerate(own) if before + n <= budget)
+
+    def _whole(self, text: str) -> int:
+        parts = self.special.split(text) if self.special else [text]
+        return len(parts) - 1 + sum(map(self._total, parts))
 
     @staticmethod
     def _keys(text: str) -> list[str]:
@@ -180,20 +197,17 @@ class PrefixCounter:
         text = text or ""
         out, base, at = [0], 0, 0
         for m in self.special.finditer(text) if self.special else ():
-            base = self._fill(text[at : m.start()], out, base)
             # Parts of a special string are ordinary text until it is complete.
-            before = out[at]
-            for cut in range(m.start() + 1, m.end()):
-                out.append(before + self._total(text[at:cut]))
-            base += 1
-            out.append(base)
+            self._fill(text[at : m.end()], out, base)
+            base = out[m.start()] + 1
+            out[m.end()] = base
             at = m.end()
         self._fill(text[at:], out, base)
         return np.asarray(out, np.int32)
 
-    def _fill(self, text: str, out: list[int], base: int) -> int:
+    def _fill(self, text: str, out: list[int] | array, base: int) -> int:
         """Appends the counts of all prefixes of a text without special strings."""
-        pieces, i, blank = self.pieces.findall(text), 0, regex.compile(r"\s+").fullmatch
+        pieces, i, blank = self.pieces.findall(text), 0, _BLANK
         while i < len(pieces):
             piece = pieces[i]
             if blank(piece) and i + 1 < len(pieces):
@@ -212,18 +226,18 @@ class PrefixCounter:
                     j += 1
                 i = j
                 continue
-            if piece in CONTRACTIONS:
-                out.extend((base + 1, base + 2))
-                out.append(base + self._piece_total(piece))
-            else:
-                out.extend(base + n for n in self._ends(piece))
-            base += self._piece_total(piece)
+            ends = [1, 2, self._piece_total(piece)] if piece in CONTRACTIONS else self._ends(piece)
+            out.extend([base + n for n in ends] if base else ends)
+            base += ends[-1]
             i += 1
         return base
 
     def _ends(self, piece: str) -> list[int]:
         """Counts at the end of each character of a piece."""
-        counts, at, out = self.piece(piece.encode("utf-8", "replace")), 0, []
+        data = piece.encode("utf-8", "replace")
+        counts, at, out = self.piece(data), 0, []
+        if len(data) == len(piece):
+            return counts[1:]
         for c in piece:
             at += len(c.encode("utf-8", "replace"))
             out.append(counts[at])
@@ -237,9 +251,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = TOKEN_LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for every row.
+    """doc_id, n_bytes, n_tokens, over_limit, limit_chars for every row.
 
-    Null and empty texts have 0 bytes and 0 tokens; null ids and repeated rows
+    ``limit_chars`` is where a cut to the limit would be: the most characters whose
+    encoding has at most ``limit`` tokens.  Null and empty texts have 0 bytes and 0 tokens; null ids and repeated rows
     stay as they are; other columns are ignored.
     """
     path = vocabulary or tokenizer_path()
@@ -250,14 +265,14 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = column(batch, "text")
             sizes = [len(t.encode("utf-8", "replace")) if t else 0 for t in texts]
-            counts = [counter.count(t) for t in texts]
-            return record(doc_id=batch.column(0), n_bytes=pa.array(sizes, pa.int64()), n_tokens=pa.array(counts, pa.int64()), over_limit=pa.array([n > limit for n in counts], pa.bool_()))
+            counts, cuts = zip(*[counter.count_and_cut(t, limit) for t in texts], strict=True)
+            return record(doc_id=batch.column(0), n_bytes=pa.array(sizes, pa.int64()), n_tokens=pa.array(counts, pa.int64()), over_limit=pa.array([n > limit for n in counts], pa.bool_()), limit_chars=pa.array(cuts, pa.int64()))
 
         return work
 
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return map_batches(slim, make, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(slim, make, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, limit_chars long")
 
 
 def prefix_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,7 +288,7 @@ def prefix_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str =
 
         return work
 
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     return map_batches(slim, make, f"doc_id {kind}, prefix_tokens array<int>")
 

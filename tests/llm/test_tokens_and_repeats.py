@@ -44,6 +44,16 @@ def test_table_of_counts(odd, odd_rows, none, library):
     assert token_counts.count_tokens(none).count() == 0
 
 
+def test_cut_at_a_budget(library):
+    counter = token_counts.PrefixCounter(token_counts.tokenizer_path())
+    rng = random.Random(4)
+    parts = ["The", " quick", " unbelievable", "\nnew", "'re", "  two", "\tx", " 12,345", "é😀", " zzqxj", "<|endoftext|>", " a"]
+    for _ in range(150):
+        text, budget = "".join(rng.choice(parts) for _ in range(rng.randrange(12))), rng.randrange(1, 12)
+        fits = [k for k in range(len(text) + 1) if len(library.encode(text[:k], add_special_tokens=False).ids) <= budget]
+        assert counter.count_and_cut(text, budget) == (len(library.encode(text, add_special_tokens=False).ids), max(fits)), text
+
+
 def test_budget_from_stored_prefixes(spark, library):
     df = token_counts.prefix_counts(make_docs(spark, [(1, "The quick brown fox's 12 jumps", "en", "a")]))
     cut = df.select(token_counts.longest_prefix(df.prefix_tokens, 4).alias("n")).first().n
