@@ -197,15 +197,24 @@ def _hadoop(spark: SparkSession, path: str):
 
 
 @contextlib.contextmanager
-def scratch_freed(spark: SparkSession) -> Iterator[list[str]]:
+def scratch_freed(spark: SparkSession) -> Iterator[None]:
     """Removes the scratch tables written inside, but for the last one, which is the result."""
     first = len(_WRITTEN)
-    yield _WRITTEN
+    yield
     while len(_WRITTEN) > first + 1:
         where, files = _hadoop(spark, _WRITTEN.pop(first))
         files.delete(where, True)
 
 
+def discard(table: DataFrame) -> None:
+    """Removes the scratch table that ``materialize`` returned as ``table``."""
+    folder = table.inputFiles()[0].rsplit("/", 1)[0] if table.inputFiles() else ""
+    for path in [p for p in _WRITTEN if folder.endswith(p.split(":", 1)[-1])]:
+        _WRITTEN.remove(path)
+        where, files = _hadoop(table.sparkSession, path)
+        files.delete(where, True)
+
+
 def crc_mod(column: Column, modulus: int) -> Column:
     """crc32 of a value as text, modulo ``modulus``; null counts as empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
