@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import decontaminate, language_id, line_dedup, mixing, ngram_join
-from quillgraph.llm.common import docs_of, materialize
+from quillgraph.llm.common import discard, docs_of, materialize, scratch_freed
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +45,17 @@ STAGES = [
     ("mixing", mixed),
 ]
 
-# The language models and the cube sampler have no SQL form; tests hold every stage against a plain version.
+# The language models and the cube sampler have no SQL form; tests hold each stage's operator against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = docs_of(spark, sf_dir)
+    first = docs = docs_of(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        # What a stage wrote on its way goes as soon as its result is there; so does its input.
+        before = docs
+        with scratch_freed(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not first:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
