@@ -31,6 +31,10 @@ class DimensionMismatchError(QuillgraphError):
         super().__init__(f"vectors have {expected} dimensions, this one has {got}")
 
 
+class ConcurrentWriteError(QuillgraphError):
+    """Another writer changed the tables meanwhile; nothing was written over."""
+
+
 class PathTraversalError(InvalidInputError):
     def __init__(self, path: str):
         super().__init__(f"path leaves its base: {path!r}")

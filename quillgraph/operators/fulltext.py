@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the rank: saturation, length weight, floor of the inverse frequency, trigram length.
@@ -79,12 +79,17 @@ def snippet(content: Column, query: str) -> Column:
 
 
 def search(sections: DataFrame, documents: DataFrame, query: str, limit: int = 10, doc_type: str | None = None) -> DataFrame:
-    """Best sections with their documents; the type filter comes after the first 2 * limit hits."""
+    """Best sections with their documents; the type filter comes after the first 2 * limit hits.
+
+    ``total_found`` is how many of these hits pass the filter.
+    """
     top = ranked(sections, query).join(documents.select(F.col("id").alias("doc_id"), "title", "doc_type"), "doc_id").orderBy("rank", "section_id").limit(2 * limit)
     if doc_type is not None:
         top = top.filter(F.col("doc_type") == doc_type)
     shown = snippet(F.col("content"), query)
-    return top.orderBy("rank", "section_id").limit(limit).select("section_id", "doc_id", "title", "doc_type", "heading", shown.alias("snippet"), "rank")
+    # At most 2 * limit rows, so a window over all of them is small.
+    top = top.withColumn("total_found", F.count("*").over(Window.partitionBy(F.lit(0))))
+    return top.orderBy("rank", "section_id").limit(limit).select("section_id", "doc_id", "title", "doc_type", "heading", shown.alias("snippet"), "rank", "total_found")
 
 
 def document_scores(top: DataFrame) -> DataFrame:

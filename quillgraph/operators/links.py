@@ -28,24 +28,27 @@ def resolve(targets: DataFrame, documents: DataFrame) -> DataFrame:
     """(link_id, target, source_path) with status, target_doc_id, filepath, ambiguous.
 
     A target with a slash is a path: the file with that path, or whose path ends
-    in it; of several the first path.  Any other target is a name: files in the
-    source's folder come first, then shallow ones, then by path.
+    in it, of several the first path; such a link is never ambiguous.  Any other
+    target is a name: files in the source's folder come first, then shallow ones,
+    then by path.
+
+    The best file of each name, of each name in a folder and of each trailing part
+    of a path is found first, so a link joins one row however many files there are.
     """
     index = file_index(documents)
-    asked = targets.withColumn("key", paths.normal_name(F.col("target"))).withColumn("by_path", F.instr("target", "/") > 0)
-    # Every file is listed under all trailing parts of its path, so a suffix match is an equi-join.
-    by_suffix = index.select("id", "filepath", F.explode(paths.suffixes(F.col("path"))).alias("key"))
-    named = asked.filter(~F.col("by_path")).join(index.withColumnRenamed("name", "key"), "key")
-    same = F.col("folder") == paths.directory(F.col("source_path"))
-    order = Window.partitionBy("link_id").orderBy(F.when(same, 0).otherwise(1), F.when(same, 0).otherwise(F.col("depth")), "filepath", "id")
-    best_name = named.withColumn("r", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("link_id"))).filter("r = 1")
-    pathed = asked.filter("by_path").join(by_suffix, "key")
-    best_path = pathed.groupBy("link_id").agg(F.min(F.struct("filepath", "id")).alias("m"), F.count("*").alias("n"))
-    found = best_name.select("link_id", "id", "filepath", (F.col("n") > 1).alias("ambiguous")).unionByName(best_path.select("link_id", "m.id", "m.filepath", (F.col("n") > 1).alias("ambiguous")))
-    return targets.join(found, "link_id", "left").select(
+    best = F.struct("depth", "filepath", "id")
+    by_name = index.groupBy(F.col("name").alias("key")).agg(F.min(best).alias("anywhere"), F.count("*").alias("n"))
+    by_folder = index.groupBy(F.col("name").alias("key"), "folder").agg(F.min(best).alias("near"))
+    by_suffix = index.select("depth", "filepath", "id", F.explode(paths.suffixes(F.col("path"))).alias("key")).groupBy("key").agg(F.min(F.struct("filepath", "id")).alias("at"))
+    by_suffix = by_suffix.withColumn("by_path", F.lit(True))
+    asked = targets.withColumns({"key": paths.normal_name(F.col("target")), "by_path": F.instr("target", "/") > 0, "folder": paths.directory(F.col("source_path"))})
+    names = by_name.withColumn("by_path", F.lit(False))
+    found = asked.join(names, ["key", "by_path"], "left").join(by_folder.withColumn("by_path", F.lit(False)), ["key", "by_path", "folder"], "left").join(by_suffix, ["key", "by_path"], "left")
+    pick = lambda c: F.coalesce(F.col(f"at.{c}"), F.col(f"near.{c}"), F.col(f"anywhere.{c}"))
+    return found.select(
         *targets.columns,
-        F.when(F.col("id").isNotNull(), "resolved").otherwise("dangling").alias("status"),
-        F.col("id").alias("target_doc_id"), "filepath", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"),
+        F.when(pick("id").isNotNull(), "resolved").otherwise("dangling").alias("status"),
+        pick("id").alias("target_doc_id"), pick("filepath").alias("filepath"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("ambiguous"),
     )
 
 

@@ -12,7 +12,7 @@ SUMMARY_CHARS, DEFAULT_BUDGET = 500, 50_000
 
 def joined_content(sections: DataFrame, headings: bool = False) -> DataFrame:
     """(doc_id, content): sections in order, separated by blank lines; headings on request."""
-    text = F.when(F.col("heading").isNotNull(), F.concat(F.lit("## "), "heading", F.lit("\n\n"), "content")).otherwise(F.col("content")) if headings else F.col("content")
+    text = F.when(F.coalesce("heading", F.lit("")) != "", F.concat(F.lit("## "), "heading", F.lit("\n\n"), "content")).otherwise(F.col("content")) if headings else F.col("content")
     parts = F.array_sort(F.collect_list(F.struct("section_order", text.alias("t"))))
     return sections.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n").alias("content"))
 
@@ -21,18 +21,10 @@ def neighbours(documents: DataFrame, links: DataFrame, incoming: bool) -> DataFr
     """(doc_id, links): the documents a page links to, or that link to it, as an array."""
     own, other = ("target_doc_id", "source_doc_id") if incoming else ("source_doc_id", "target_doc_id")
     named = documents.select(F.col("id").alias(other), "title", "filepath")
-    found = links.join(named, other).select(F.col(own).alias("doc_id"), F.struct("title", "filepath", "type", "context").alias("link"))
+    found = links.join(named, other).select(F.col(own).alias("doc_id"), F.struct("title", "filepath", "type", "context", F.col(other).alias("doc_id")).alias("link"))
     return found.groupBy("doc_id").agg(F.array_sort(F.collect_list("link")).alias("backlinks" if incoming else "links"))
 
 
-def page(documents: DataFrame, sections: DataFrame, links: DataFrame, refs: DataFrame | None = None) -> DataFrame:
-    """One row per document given: content, links both ways, staleness and stale paths."""
-    ids = documents.select(F.col("id").alias("doc_id"))
-    own = lambda df: df.join(ids, "doc_id", "left_semi")
-    out = documents.withColumnRenamed("id", "doc_id").join(joined_content(own(sections), True), "doc_id", "left")
-    return out.transform(lambda d: _with_links(d, documents, links, ids)).transform(lambda d: _with_staleness(d, documents, refs))
-
-
 def _with_links(pages: DataFrame, documents: DataFrame, links: DataFrame, ids: DataFrame, every: DataFrame | None = None) -> DataFrame:
     out = links.join(ids.withColumnRenamed("doc_id", "source_doc_id"), "source_doc_id", "left_semi")
     into = links.join(ids.withColumnRenamed("doc_id", "target_doc_id"), "target_doc_id", "left_semi")
@@ -48,13 +40,24 @@ def _with_staleness(pages: DataFrame, documents: DataFrame, refs: DataFrame | No
     return out.withColumn("staleness", F.coalesce("staleness", F.lit("fresh")))
 
 
-def get_page(documents: DataFrame, sections: DataFrame, links: DataFrame, filepath: str, refs: DataFrame | None = None) -> DataFrame:
-    one = documents.filter(F.col("filepath") == filepath)
-    ids = one.select(F.col("id").alias("doc_id"))
-    out = one.withColumnRenamed("id", "doc_id").join(joined_content(sections.join(ids, "doc_id", "left_semi"), True), "doc_id", "left")
+def pages(documents: DataFrame, chosen: DataFrame, sections: DataFrame, links: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """One row per chosen document: content, sections, links both ways (dangling ones left out), staleness and stale paths."""
+    ids = chosen.select(F.col("id").alias("doc_id"))
+    own = sections.join(ids, "doc_id", "left_semi")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("section_order", "heading", "content"))), lambda p: F.struct(p["heading"].alias("heading"), p["content"].alias("content")))
+    out = chosen.withColumnRenamed("id", "doc_id").join(joined_content(own, True), "doc_id", "left").join(own.groupBy("doc_id").agg(parts.alias("sections")), "doc_id", "left")
     return _with_staleness(_with_links(out, documents, links, ids, documents), documents, refs)
 
 
+def get_page(documents: DataFrame, sections: DataFrame, links: DataFrame, filepath: str, refs: DataFrame | None = None) -> DataFrame:
+    return pages(documents, documents.filter(F.col("filepath") == filepath), sections, links, refs)
+
+
+def by_title(documents: DataFrame, title: str) -> DataFrame:
+    """Documents whose title has the given part, in either case; % and _ stand for any characters, as in LIKE."""
+    return documents.filter(F.col("title").ilike(f"%{title}%"))
+
+
 def list_pages(documents: DataFrame, links: DataFrame, doc_type: str | None = None, sort: str = "title", order: str = "asc") -> DataFrame:
     """Documents with the number of their outgoing links, dangling ones included.
 
@@ -92,11 +95,12 @@ def contexts(documents: DataFrame, sections: DataFrame, links: DataFrame, center
     """Per center: its content, the related documents that fit the budget, sizes and the number left out.
 
     ``centers`` has one column, ``seed``.  Related documents come by depth, then
-    title; each brings its whole content.  The center always counts in full.
+    title; each counts with its summary, the first ``SUMMARY_CHARS`` characters.  The
+    center always counts in full.
     """
     content = joined_content(sections).withColumn("size", F.length("content").cast("long"))
     related = graph.with_documents(graph.traverse_both(links, centers, depth), documents)
-    sized = related.join(content.select(F.col("doc_id").alias("node"), "size"), "node", "left").fillna(0, ["size"])
+    sized = related.join(content.select(F.col("doc_id").alias("node"), F.least("size", F.lit(SUMMARY_CHARS).cast("long")).alias("size")), "node", "left").fillna(0, ["size"])
     packed = F.struct("depth", "title", "node", "size", "link_type", F.when(F.col("direction") == graph.OUT, "outlink").otherwise("backlink").alias("direction"))
     lists = sized.groupBy("seed").agg(F.array_sort(F.collect_list(packed)).alias("related"))
     own = centers.join(content.select(F.col("doc_id").alias("seed"), F.col("size").alias("center_size")), "seed", "left").fillna(0, ["center_size"])
@@ -108,14 +112,14 @@ def contexts(documents: DataFrame, sections: DataFrame, links: DataFrame, center
 
 
 def get_context(documents: DataFrame, sections: DataFrame, links: DataFrame, filepath: str, depth: int = 2, most: int = DEFAULT_BUDGET) -> DataFrame:
-    """The context of one document with the contents of what was chosen."""
+    """The context of one document with the summaries of what was chosen."""
     center = documents.filter(F.col("filepath") == filepath).select(F.col("id").alias("seed"))
     chosen = contexts(documents, sections, links, center, depth, most)
     one = chosen.select("seed", "total_size", "truncated", F.explode_outer("related").alias("r"))
     ids = one.select(F.col("r.node").alias("doc_id")).unionByName(center.withColumnRenamed("seed", "doc_id")).distinct()
     texts = joined_content(sections.join(ids, "doc_id", "left_semi"))
     own = texts.select(F.col("doc_id").alias("seed"), F.col("content").alias("center_content"))
-    return one.join(own, "seed", "left").join(texts.select(F.col("doc_id").alias("node"), "content"), F.col("r.node") == F.col("node"), "left").select("seed", "center_content", "total_size", "truncated", "r.*", "content", F.substring("content", 1, SUMMARY_CHARS).alias("summary"))
+    return one.join(own, "seed", "left").join(texts.select(F.col("doc_id").alias("node"), "content"), F.col("r.node") == F.col("node"), "left").select("seed", "center_content", "total_size", "truncated", "r.*", F.substring("content", 1, SUMMARY_CHARS).alias("summary"))
 
 
 def status(documents: DataFrame, sections: DataFrame, links: DataFrame, vectors: DataFrame | None = None, refs: DataFrame | None = None) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MISSING = "__NOT_FOUND__"
+_GLOB = re.compile(r"([{}\[\]*?\\])")
 
 
 def recheck(refs: DataFrame, files: DataFrame) -> DataFrame:
@@ -52,10 +55,23 @@ def summary(refs: DataFrame) -> DataFrame:
 
 
 def source_hashes(spark, refs: DataFrame, root: str) -> DataFrame:
-    """(file_path, hash) of the referenced files below ``root`` that can be read."""
+    """(file_path, hash) of the referenced files below ``root`` that can be read.
+
+    The folder is listed first, without contents; only the files that a reference
+    names are opened.  Their paths, as many as references, come to the driver.
+    """
     prefix = root.rstrip("/") + "/"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     own = F.substr("path", F.instr("path", prefix) + len(prefix))
-    hashes = found.select(own.alias("file_path"), F.sha2("content", 256).alias("hash"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", own.alias("file_path"))
     wanted = refs.filter(~F.col("file_path").rlike(r"(^|/)\.\.(/|$)")).select("file_path").distinct()
-    return hashes.join(wanted, "file_path", "left_semi").select("file_path", "hash")
+    there = [r.path for r in listed.join(wanted, "file_path", "left_semi").select("path").collect()]
+    if not there:
+        return spark.createDataFrame([], "file_path string, hash string")
+    # Names come back as text; a glob mark in one would be read as a pattern.
+    return spark.read.format("binaryFile").load([_GLOB.sub(r"\\\1", p) for p in there]).select(own.alias("file_path"), F.sha2("content", 256).alias("hash"))
+
+
+def with_flags(refs: DataFrame, checked: DataFrame) -> DataFrame:
+    """The stored references with the flags that a check found."""
+    found = checked.select("doc_id", "file_path", F.col("is_stale").alias("__found")).dropDuplicates(["doc_id", "file_path"])
+    return refs.join(found, ["doc_id", "file_path"], "left").withColumn("is_stale", F.coalesce("__found", "is_stale")).select(*refs.columns)

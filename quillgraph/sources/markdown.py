@@ -23,7 +23,8 @@ from quillgraph.schema import LINK_TYPES, PUBLIC_DOC_TYPES
 
 MAX_TOKENS, MIN_TOKENS, AROUND = 256, 32, 50
 
-_WIKILINK = re.compile(r"\[\[([^\]|]+?)(?:\|([^\]]+?))?\]\]")
+# Two opening brackets, a target without bars and closing brackets, a label behind a bar if there is one, two closing brackets.
+_WIKILINK = re.compile(r"\[\[(?P<target>[^|\]]+)(?:\|(?P<label>[^\]]+))?\]{2}")
 _MDLINK = re.compile(r"(?<!!)\[((?:[^\[\]\\]|\\.|\[[^\]]*\])*)\]\(\s*(<[^<>\n]*>|(?:[^\s()\\]|\\.|\([^\s()]*\))*)(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)")
 _EXTERNAL = re.compile(r"^(https?://|mailto:|#)")
 _ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
@@ -226,7 +227,7 @@ def wikilinks(text: str, shown: str | None = None) -> tuple[list[dict], list[str
     """Double-bracket links outside code; an unknown type is a reference and a warning."""
     links, warnings = [], []
     for m in _WIKILINK.finditer(masked(text) if shown is None else shown):
-        target, label = m[1].strip(), (m[2] or "").strip()
+        target, label = m["target"].strip(), (m["label"] or "").strip()
         if not target:
             continue
         if label and label not in LINK_TYPES:

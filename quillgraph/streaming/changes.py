@@ -45,15 +45,28 @@ def snapshot_changes(before: DataFrame, now: DataFrame) -> DataFrame:
     return b.join(n, "filepath", "full_outer").select(kind.alias("type"), "filepath").filter(F.col("type").isNotNull())
 
 
+def last_of_each(batch: DataFrame) -> DataFrame:
+    """One event per path: the last type."""
+    return batch.groupBy("filepath").agg(F.max_by("type", "ts").alias("type"))
+
+
 def start(changes: DataFrame, apply: Callable[[DataFrame, DataFrame], None], checkpoint: str, trigger: str | None = None) -> StreamingQuery:
     """Runs ``apply(changed, removed)`` on the paths of every micro-batch.
 
-    A batch that fails is reported by the query and tried again from the checkpoint.
+    A micro-batch is a burst: the trigger is the quiet time, and of the events of a
+    path the last one counts.  Nothing is held back for later events.  A batch that
+    fails is reported by the query and tried again from the checkpoint.
     """
 
     def step(batch: DataFrame, _: int) -> None:
-        last = batch.groupBy("filepath").agg(F.max_by("type", "ts").alias("type"))
+        last = last_of_each(batch)
         apply(last.filter("type <> 'unlink'").select("filepath"), last.filter("type = 'unlink'").select("filepath"))
 
-    writer = debounced(inside(changes)).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(step)
+    writer = inside(changes).writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
     return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
+
+
+def poll(spark: SparkSession, look: Callable[[], None], checkpoint: str, every: str = QUIET) -> StreamingQuery:
+    """Runs ``look`` at every trigger; it compares the files with what is stored."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(lambda *_: look()).start()

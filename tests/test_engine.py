@@ -1,10 +1,12 @@
+import hashlib
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph import config
-from quillgraph.errors import ConfigNotFoundError, DocumentNotFoundError, InvalidInputError, PathTraversalError
+from quillgraph.errors import ConcurrentWriteError, ConfigNotFoundError, DocumentNotFoundError, InvalidInputError, PathTraversalError
 from quillgraph.functions.paths import contained
 from quillgraph.operators import staleness
 from quillgraph.plans.engine import Engine
@@ -41,6 +43,8 @@ def test_pages_and_graph(project):
     engine, _ = project
     page = engine.get_page("intro.md").first()
     assert "Welcome" in page.content and [x.title for x in page.backlinks] == ["Design"] and page.links[0].type == "depends_on"
+    assert [s.content for s in page.sections] == [page.content] and page.links[0].doc_id == page.backlinks[0].doc_id and page.updated_at is not None
+    assert [r.title for r in engine.find_by_title("INTR").collect()] == ["Intro"] and engine.find_by_title("x_y").count() == 0
     assert [r.title for r in engine.list_pages().collect()] == ["Design", "Intro"]
     assert engine.list_pages("guide").count() == 1
     nodes, edges = engine.get_graph("intro.md", 1)
@@ -54,7 +58,9 @@ def test_pages_and_graph(project):
 
 def test_searches(project):
     engine, _ = project
-    assert engine.search("widget design").count() == 2
+    rows = engine.search("widget design", include_linked=True).collect()
+    assert len(rows) == 2 and {r.total_found for r in rows} == {2} and all([p.title for p in r.linked_pages] != [r.title] and r.linked_pages for r in rows)
+    assert engine.search("widget design", limit=1).first().total_found == 2
     assert [r.title for r in engine.fulltext_search("draft").collect()] == ["Design"]
     assert engine.fulltext_search("draft", doc_type="api").count() == 0
 
@@ -63,7 +69,12 @@ def test_staleness_of_files(project):
     engine, _ = project
     assert engine.get_stale_documents().count() == 1
     write(engine.root, "src/a.ts", "two")
+    assert engine.get_page("intro.md").first().staleness == "untracked"
     row = engine.get_stale_documents().first()
+    # What the check found is stored, so pages and searches show it.
+    page = engine.get_page("intro.md").first()
+    assert page.staleness == "stale" and page.stale_refs == ["src/a.ts", "src/gone.ts"] and engine.get_status().first().stale_refs == 2
+    assert {r.title: r.staleness for r in engine.search("widget design").collect()} == {"Intro": "stale", "Design": "fresh"}
     assert row.staleness == "stale" and {(r.file_path, r.reason) for r in row.stale_refs} == {("src/a.ts", "modified"), ("src/gone.ts", "not_found")}
 
 
@@ -83,12 +94,55 @@ def test_watching(project, spark, tmp_path):
     engine, _ = project
     write(engine.root, "docs/new.md", "Fresh page.\n")
     events = tmp_path / "events"
-    write(str(events), "1.json", '{"type":"add","filepath":"new.md","ts":"2024-01-01T00:00:00Z"}\n{"type":"change","filepath":"later.md","ts":"2024-01-01T01:00:00Z"}\n')
+    write(str(events), "1.json", '{"type":"add","filepath":"new.md","ts":"2024-01-01T00:00:00Z"}\n')
     q = engine.start_watching(str(events), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert q.exception() is None
     engine.stop_watching()
     assert "new.md" in {r.filepath for r in engine.table("documents").collect()}
+    write(str(events), "2.json", '{"type":"change","filepath":"new.md","ts":"2024-01-01T00:00:01Z"}\n{"type":"unlink","filepath":"new.md","ts":"2024-01-01T00:00:02Z"}\n')
+    os.remove(os.path.join(engine.root, "docs/new.md"))
+    engine.start_watching(str(events), str(tmp_path / "cp")).awaitTermination(120)
+    assert "new.md" not in {r.filepath for r in engine.table("documents").collect()}
+
+
+def test_watching_the_files_themselves(project, spark, tmp_path):
+    engine, _ = project
+    assert engine.pending_changes().count() == 0
+    write(engine.root, "docs/seen.md", "Seen by looking.\n")
+    assert [(r.type, r.filepath) for r in engine.pending_changes().collect()] == [("add", "seen.md")]
+    q = engine.start_watching(None, str(tmp_path / "cp"))
+    deadline = time.time() + 90
+    while time.time() < deadline and engine.pending_changes().count():
+        time.sleep(0.5)
+    engine.stop_watching()
+    assert q.exception() is None and engine.pending_changes().count() == 0 and engine.find_by_title("seen").count() == 1
+
+
+def test_lock_and_concurrent_writes(project, spark):
+    engine, _ = project
+    other = Engine(spark, engine.root, embeddings.HashingProvider(16))
+    assert engine.acquire_lock() == (True, None) and other.acquire_lock() == (False, os.getpid())
+    engine.close()
+    write(engine.root, ".quillgraph/serve.lock", "999999999")
+    assert other.acquire_lock() == (True, None)
+    other.close()
+    seen = engine._versions()
+    other._commit({"refs": other.table("refs")}, seen)
+    with pytest.raises(ConcurrentWriteError):
+        engine._commit({"refs": engine.table("refs")}, seen)
+    assert len(os.listdir(os.path.join(engine._base(), "documents"))) <= 2
+
+
+def test_only_named_source_files_are_read(spark, tmp_path):
+    root = str(tmp_path)
+    write(root, "src/a[1].ts", "one")
+    write(root, "src/b.ts", "two")
+    write(root, "secret.bin", "x")
+    refs = spark.createDataFrame([("d", "src/a[1].ts"), ("d", "../up"), ("e", "src/none.ts")], "doc_id string, file_path string")
+    found = staleness.source_hashes(spark, refs, root).collect()
+    assert [(r.file_path, r.hash) for r in found] == [("src/a[1].ts", hashlib.sha256(b"one").hexdigest())]
+    assert staleness.source_hashes(spark, refs.filter("false"), root).count() == 0
 
 
 def test_config(tmp_path):

@@ -64,13 +64,19 @@ def test_proximity(spark):
 
 
 def test_budget_skips_what_does_not_fit_and_goes_on(spark):
-    docs = spark.createDataFrame([(x, f"t{x}", "guide", f"{x}.md") for x in "ABCD"], "id string, title string, doc_type string, filepath string")
-    links = spark.createDataFrame([("A", x, "references") for x in "BCD"], LINKS)
-    sections = spark.createDataFrame([(1, "A", 0, None, "a" * 10), (2, "B", 0, None, "b" * 50), (3, "C", 0, None, "c" * 95), (4, "D", 0, None, "d" * 30)], "section_id long, doc_id string, section_order int, heading string, content string")
-    row = pages.contexts(docs, sections, links, spark.createDataFrame([("A",)], "seed string"), 1, 100).first()
-    assert (row.total_size, row.truncated, [r.node for r in row.related]) == (90, 1, ["B", "D"])
+    budget = lambda most: pages.contexts(docs, sections, links, spark.createDataFrame([("A",)], "seed string"), 1, most).first()
+    docs = spark.createDataFrame([(x, f"t{x}", "guide", f"{x}.md") for x in "ABCDE"], "id string, title string, doc_type string, filepath string")
+    links = spark.createDataFrame([("A", x, "references") for x in "BCDE"], LINKS)
+    sections = spark.createDataFrame([(1, "A", 0, None, "a" * 10), (2, "B", 0, None, "b" * 50), (3, "C", 0, None, "c" * 95), (4, "D", 0, None, "d" * 30), (5, "E", 0, "", "e" * 2000)], "section_id long, doc_id string, section_order int, heading string, content string")
+    row = budget(100)
+    assert (row.total_size, row.truncated, [r.node for r in row.related]) == (90, 2, ["B", "D"])
+    # A long page counts with its summary of 500 characters.
+    row = budget(700)
+    assert (row.total_size, row.truncated, [r.node for r in row.related]) == (685, 0, ["B", "C", "D", "E"])
+    assert pages.get_page(docs, sections, links.selectExpr("*", "null as context"), "E.md").first().content == "e" * 2000
     shown = pages.get_context(docs, sections, links, "A.md", 1, 100).collect()
     assert {r.node for r in shown} == {"B", "D"} and shown[0].center_content == "a" * 10
+    assert {len(r.summary) for r in pages.get_context(docs, sections, links, "A.md", 1, 700).collect()} == {50, 95, 30, 500}
 
 
 def test_neighbours_match_brute_force(spark):
