@@ -57,12 +57,13 @@ ranked AS (SELECT section_id, doc_id, heading, content, -({rank}) AS rank FROM c
 _SIM = "list_inner_product(embedding, q)"
 
 
-def _scores(words: str, limit: int, depth: int) -> str:
+def _scores(words: str, limit: int, depth: int, types: str | None = None) -> str:
+    only = f"WHERE link_type IN ({types})" if types else ""
     return f"""WITH RECURSIVE {SQL}, {_bm25(words)},
 hits AS (SELECT section_id, doc_id, {_SIM} AS s FROM vectors_v, query_v ORDER BY s DESC, section_id LIMIT {10 * limit}),
 seeds AS (SELECT DISTINCT doc_id AS seed FROM (SELECT doc_id FROM hits ORDER BY s DESC, section_id LIMIT {2 * limit})),
 {_both(depth, "SELECT seed FROM seeds")},
-prox AS (SELECT doc_id, max(p) AS prox FROM (SELECT node AS doc_id, 1.0 / depth AS p FROM both_v JOIN docs_v ON id = node UNION ALL SELECT seed, 1.0 FROM seeds) GROUP BY doc_id),
+prox AS (SELECT doc_id, max(p) AS prox FROM (SELECT node AS doc_id, 1.0 / depth AS p FROM both_v JOIN docs_v ON id = node {only} UNION ALL SELECT seed, 1.0 FROM seeds) GROUP BY doc_id),
 top AS (SELECT ranked.* FROM ranked JOIN docs_v ON id = doc_id ORDER BY rank, section_id LIMIT {10 * limit}),
 fts AS (SELECT doc_id, max(abs(rank) / (SELECT max(abs(rank)) FROM top)) AS fts FROM top GROUP BY doc_id),
 placed AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC) AS r FROM hits),
@@ -83,11 +84,11 @@ _TARGETS = """asked AS (
 files AS (SELECT id, filepath, lower(regexp_replace(filepath, '\\.md$', '')) AS key, regexp_replace(filepath, '/[^/]*$', '') AS folder, len(string_split(filepath, '/')) AS depth FROM nested_v)"""
 
 
-def _resolved(condition: str, order: str) -> str:
+def _resolved(condition: str, order: str, ambiguous: str) -> str:
     return f"""WITH {SQL}, {_TARGETS},
 found AS (SELECT link_id, id, filepath, row_number() OVER (PARTITION BY link_id ORDER BY {order}) AS r, count(*) OVER (PARTITION BY link_id) AS n
   FROM asked a JOIN files f ON {condition})
-SELECT a.link_id, CASE WHEN id IS NULL THEN 'dangling' ELSE 'resolved' END AS status, id AS target_doc_id, filepath, coalesce(n > 1, false) AS ambiguous
+SELECT a.link_id, CASE WHEN id IS NULL THEN 'dangling' ELSE 'resolved' END AS status, id AS target_doc_id, filepath, {ambiguous} AS ambiguous
 FROM asked a LEFT JOIN (SELECT * FROM found WHERE r = 1) USING (link_id)"""
 
 
@@ -117,10 +118,11 @@ SELECT query_id, section_id, round(s, 6) AS similarity, CAST(rank AS INT) AS ran
     CASE WHEN fts > 0 THEN printf('fulltext: %.3f', fts) END), ''), 'graph-connected') AS relevance_reason
 FROM scored JOIN docs_v ON id = doc_id ORDER BY round(scored.score, 12) DESC, doc_id LIMIT 5""",
     "fts_fallback": f"""{_SEARCHED}, few AS (SELECT * FROM top ORDER BY rank, section_id LIMIT {TOP})
-SELECT doc_id, title, doc_type, section_id, round(abs(rank), 6) AS score, 'fulltext_fallback' AS search_type
+SELECT doc_id, title, (SELECT filepath FROM docs_v WHERE id = doc_id) AS filepath, doc_type, section_id, (SELECT count(*) FROM top) AS total_found, round(abs(rank), 6) AS score,
+  'fulltext_fallback' AS search_type
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, section_id) AS r FROM few) WHERE r = 1""",
     "page_sections": f"""WITH {SQL}, pages AS (
-  SELECT doc_id, string_agg(CASE WHEN heading IS NULL THEN content ELSE '## ' || heading || chr(10) || chr(10) || content END, chr(10) || chr(10) ORDER BY section_order) AS content FROM sections_v GROUP BY doc_id)
+  SELECT doc_id, string_agg(CASE WHEN coalesce(heading, '') = '' THEN content ELSE '## ' || heading || chr(10) || chr(10) || content END, chr(10) || chr(10) ORDER BY section_order) AS content FROM sections_v GROUP BY doc_id)
 SELECT doc_id, CAST(length(content) AS INT) AS n_chars, sha256(content) AS content_hash FROM pages""",
     "page_links": f"""WITH {SQL},
 o AS (SELECT source_doc_id AS doc_id, string_agg(title || ':' || type, ',' ORDER BY title, filepath, type) AS outgoing FROM links_v JOIN docs_v ON id = target_doc_id GROUP BY 1),
@@ -133,7 +135,8 @@ SELECT id AS doc_id, coalesce(outgoing, '') AS outgoing, coalesce(incoming, '')
     "context_budget": f"""WITH RECURSIVE {SQL}, {_both(1)},
 sizes AS (SELECT doc_id, CAST(sum(length(content)) + 2 * (count(*) - 1) AS BIGINT) AS size FROM sections_v GROUP BY doc_id),
 items AS (
-  SELECT seed, node, coalesce(size, 0) AS size, row_number() OVER (PARTITION BY seed ORDER BY depth, title, node) AS place
+  -- A related document counts with its summary of 500 characters.
+  SELECT seed, node, least(coalesce(size, 0), 500) AS size, row_number() OVER (PARTITION BY seed ORDER BY depth, title, node) AS place
   FROM both_v JOIN docs_v ON id = node LEFT JOIN sizes ON sizes.doc_id = node),
 fold AS (
   SELECT id AS seed, 0 AS place, coalesce(size, 0) AS total, 0 AS truncated, '' AS taken FROM docs_v LEFT JOIN sizes ON sizes.doc_id = id
@@ -161,8 +164,8 @@ pairs AS (
   WHERE rank <= 10 AND qd <> td AND round(s, 12) >= 0.3 AND NOT EXISTS (SELECT 1 FROM known WHERE a = qd AND b = td))
 SELECT qd AS source_doc_id, td AS target_doc_id, st AS source_title, tt AS target_title, sl AS source_label, tl AS target_label, round(s, 6) AS similarity
 FROM pairs WHERE r = 1 ORDER BY round(s, 12) DESC, qd, td LIMIT 50""",
-    "link_resolution_name": _resolved("regexp_replace(f.key, '.*/', '') = a.name", "CASE WHEN f.folder = a.folder THEN 0 ELSE 1 END, CASE WHEN f.folder = a.folder THEN 0 ELSE f.depth END, filepath, id"),
-    "link_resolution_path": _resolved("f.key = a.path OR ends_with(f.key, '/' || a.path)", "filepath, id"),
+    "link_resolution_name": _resolved("regexp_replace(f.key, '.*/', '') = a.name", "CASE WHEN f.folder = a.folder THEN 0 ELSE 1 END, CASE WHEN f.folder = a.folder THEN 0 ELSE f.depth END, filepath, id", "coalesce(n > 1, false)"),
+    "link_resolution_path": _resolved("f.key = a.path OR ends_with(f.key, '/' || a.path)", "filepath, id", "false"),
     "ambiguous_names": f"WITH {SQL}, {_TARGETS} SELECT regexp_replace(key, '.*/', '') AS name, count(*) AS files FROM files GROUP BY 1 HAVING count(*) > 1",
     "link_dedupe": f"WITH {SQL} SELECT source_doc_id, target_doc_id, type, position, target_title FROM (SELECT *, row_number() OVER (PARTITION BY source_doc_id, coalesce(CAST(target_doc_id AS VARCHAR), ''), type ORDER BY position) AS r FROM links_v) WHERE r = 1",
     "link_counts": f"WITH {SQL} SELECT count(*) AS total, count(target_doc_id) AS resolved, count(*) FILTER (target_doc_id IS NULL) AS dangling FROM links_v",
@@ -197,4 +200,77 @@ SELECT user_id, max(ts) AS ts, count(*) AS events FROM s GROUP BY user_id, burst
     "snapshot_changes": f"""WITH {SQL}
 SELECT CASE WHEN id % 4 = 0 THEN 'add' WHEN id % 5 = 0 THEN 'unlink' ELSE 'change' END AS type, filepath FROM docs_v
 WHERE (id % 4 = 0) <> (id % 5 = 0) OR (id % 4 <> 0 AND id % 5 <> 0 AND id % 3 = 0)""",
+    "hybrid_doc_type": f"""{_scores(WORDS, 5, 2)}, kept AS (SELECT doc_id, score FROM scored JOIN docs_v ON id = doc_id WHERE doc_type = 'guide')
+SELECT doc_id, round(score, 6) AS score, (SELECT count(*) FROM kept) AS total_found FROM kept ORDER BY round(kept.score, 12) DESC, doc_id LIMIT 5""",
+    "hybrid_link_types": f"{_scores(WORDS, TOP, 2, _TYPES)} {_SCORES}",
+    "hybrid_sections": f"""{_scores(WORDS, 20, 2)},
+best AS (SELECT doc_id, filepath FROM scored JOIN docs_v ON id = doc_id ORDER BY round(score, 12) DESC, doc_id LIMIT 20),
+near AS (
+  SELECT b.doc_id, filepath, row_number() OVER (PARTITION BY b.doc_id ORDER BY h.s DESC, h.section_id) - 1 AS place, heading, content, h.s AS score
+  FROM best b JOIN hits h ON h.doc_id = b.doc_id JOIN sections_v v ON v.section_id = h.section_id),
+opening AS (SELECT b.doc_id, filepath, 0 AS place, heading, substr(content, 1, 500) AS content, 0.0 AS score FROM best b JOIN sections_v v ON v.doc_id = b.doc_id AND section_order = 0)
+SELECT doc_id, filepath, place, heading, content, round(score, 6) AS score FROM near WHERE place < 3
+UNION ALL SELECT * FROM opening WHERE doc_id NOT IN (SELECT doc_id FROM near)""",
+    "hybrid_linked_pages": f"""WITH {SQL},
+pairs AS (SELECT source_doc_id AS doc_id, target_doc_id AS page, type FROM links_v WHERE target_doc_id IS NOT NULL UNION SELECT target_doc_id, source_doc_id, type FROM links_v WHERE target_doc_id IS NOT NULL),
+texts AS (SELECT doc_id AS page, substr(string_agg(content, chr(10) || chr(10) ORDER BY section_order), 1, 500) AS summary FROM sections_v GROUP BY doc_id)
+SELECT doc_id, page, type, title, filepath, summary FROM pairs JOIN docs_v ON id = page LEFT JOIN texts USING (page)""",
+    "fulltext_snippets": f"""WITH {SQL},
+found AS (SELECT section_id, content, coalesce(least(nullif(instr(lower(content), 'than'), 0), nullif(instr(lower(content), 'the'), 0)), 1) AS hit FROM sections_v WHERE content IS NOT NULL),
+cut AS (SELECT section_id, content, greatest(least(hit - 16, length(content) - 65), 1) AS a FROM found)
+SELECT section_id, CASE WHEN a > 1 THEN '...' ELSE '' END || regexp_replace(substr(content, a, 66), '(than|the)', '<mark>\\1</mark>', 'gi') || CASE WHEN a + 66 <= length(content) THEN '...' ELSE '' END AS snippet FROM cut""",
+    "title_search": f"WITH {SQL} SELECT id, title FROM docs_v WHERE regexp_matches(title, '(?i)doc 0.0000')",
+    "list_pages_of_type": f"WITH {SQL} SELECT id, title, (SELECT count(*) FROM links_v WHERE source_doc_id = id) AS link_count FROM docs_v WHERE doc_type = 'guide'",
+    "page_payload": f"""WITH {SQL},
+o AS (SELECT source_doc_id AS doc_id, string_agg(id || ':' || type, ',' ORDER BY title, filepath, type) AS outgoing FROM links_v JOIN docs_v ON id = target_doc_id GROUP BY 1),
+b AS (SELECT target_doc_id AS doc_id, string_agg(id || ':' || type, ',' ORDER BY title, filepath, type) AS incoming FROM links_v JOIN docs_v ON id = source_doc_id GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n, sha256(string_agg(CASE WHEN coalesce(heading, '') = '' THEN content ELSE '## ' || heading || chr(10) || chr(10) || content END, chr(10) || chr(10) ORDER BY section_order)) AS h FROM sections_v GROUP BY doc_id),
+r AS (SELECT doc_id, bool_or(is_stale AND last_synced_hash <> '') AS changed, bool_or(is_stale AND last_synced_hash = '') AS unknown, string_agg(file_path, ',' ORDER BY file_path) FILTER (is_stale) AS paths FROM checked_v GROUP BY doc_id)
+SELECT d.id AS doc_id, title, h AS content_hash, coalesce(n, 0) AS sections, coalesce(outgoing, '') AS outgoing, coalesce(incoming, '') AS incoming,
+  CASE WHEN changed THEN 'stale' WHEN unknown THEN 'untracked' ELSE 'fresh' END AS staleness, coalesce(paths, '') AS stale_refs
+FROM docs_v d LEFT JOIN o ON o.doc_id = d.id LEFT JOIN b ON b.doc_id = d.id LEFT JOIN c ON c.doc_id = d.id LEFT JOIN r ON r.doc_id = d.id""",
+    "markdown_link_contexts": """
+WITH f AS (
+  SELECT doc_id, '[[page ' || doc_id || '|implements]]' AS link, chr(10) || chr(10) AS gap,
+    '# Page' || gap || 'See ' || link || ' and `[[code]]`, [[other|odd]] or [text](../b/p%20' || doc_id || '.md#part) and [web](https://example.org/x.md).' AS t FROM documents)
+SELECT 'a/' || doc_id || '.md' AS filepath, substr(t, greatest(strpos(t, link) - 50, 1), length(link) + least(strpos(t, link) - 1, 50) + 50) AS context, 0 AS section_order FROM f""",
+    "markdown_sections": """
+WITH n AS (SELECT CAST(doc_id AS VARCHAR) AS filepath, doc_id % 60 + 1 AS a, doc_id % 45 + 1 AS b, ceil(1.3::DOUBLE * (doc_id % 45 + 1)) < 32 AS small FROM documents),
+parts AS (
+  -- A second section of fewer than 32 tokens, and always the tiny one with its deeper heading, join the one before; the long one is cut at paragraphs.
+  SELECT filepath, 0 AS section_order, 'A' AS heading, CASE WHEN small THEN a + b + 4 ELSE a END AS words FROM n
+  UNION ALL SELECT filepath, 1, 'B', b + 4 FROM n WHERE NOT small
+  UNION ALL SELECT filepath, k + CASE WHEN small THEN 1 ELSE 2 END, 'D', CASE WHEN k < 2 THEN 160 ELSE 80 END FROM n, (SELECT unnest([0, 1, 2]) AS k))
+SELECT filepath, CAST(section_order AS INT) AS section_order, heading, CAST(ceil(1.3::DOUBLE * words) AS INT) AS token_count FROM parts""",
+    "pending_embeddings": f"WITH {SQL} SELECT section_id, doc_id FROM sections_v WHERE section_id NOT IN (SELECT section_id FROM vectors_v)",
+    "other_model_embeddings": f"WITH {SQL} SELECT section_id, doc_id FROM sections_v WHERE section_id IN (SELECT section_id FROM vectors_v) AND section_id % 3 = 0",
+    "embedding_sink": f"""WITH {SQL}, n AS (SELECT section_id + 1 AS section_id FROM vectors_v WHERE section_id % 2 = 0)
+SELECT s.section_id, CASE WHEN n.section_id IS NOT NULL THEN 2 ELSE CAST(len(embedding) AS INT) END AS dims,
+  CASE WHEN n.section_id IS NOT NULL THEN 'newest' WHEN s.section_id % 3 = 0 THEN 'old' ELSE 'new' END AS embedding_model
+FROM sections_v s LEFT JOIN vectors_v v USING (section_id) LEFT JOIN n USING (section_id) WHERE n.section_id IS NOT NULL OR v.section_id IS NOT NULL""",
+    "embedding_input": f"""WITH {SQL}, w AS (SELECT section_id, content, CASE WHEN coalesce(heading, '') = '' THEN content ELSE heading || chr(10) || content END AS whole FROM sections_v WHERE content IS NOT NULL)
+SELECT section_id, substr('passage: ' || whole, 1, 60) AS passage, substr('query: ' || content, 1, 40) AS "query", substr(whole, 1, 50) AS plain FROM w""",
+    "embedding_jobs": "SELECT user_id AS section_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS position FROM events GROUP BY user_id",
+    "vector_upsert": f"""WITH {SQL}, i AS (SELECT section_id, doc_id, embedding[1] AS x FROM vectors_v), m AS (SELECT CASE WHEN doc_id % 2 = 0 THEN section_id ELSE -section_id END AS section_id, doc_id FROM i WHERE section_id % 4 = 0)
+SELECT section_id, doc_id, round(x, 6) AS x FROM i WHERE section_id NOT IN (SELECT section_id FROM m) UNION ALL SELECT section_id, doc_id, 9.0 FROM m""",
+    "vector_remove": f"WITH {SQL} SELECT section_id, doc_id, round(embedding[1], 6) AS x FROM vectors_v WHERE doc_id NOT IN (SELECT id FROM docs_v WHERE id % 3 = 0)",
+    "dangling_links": f"WITH {SQL} SELECT source_doc_id, type, target_title FROM links_v WHERE target_doc_id IS NULL",
+    "link_sections": f"""WITH {SQL} SELECT source_doc_id, position, s.section_id AS source_section_id
+FROM links_v l LEFT JOIN sections_v s ON s.doc_id = l.source_doc_id AND s.section_order = l.position - 1""",
+    "link_detach": f"""WITH {SQL} SELECT source_doc_id, position, s.section_id AS source_section_id
+FROM links_v l LEFT JOIN sections_v s ON s.doc_id = l.source_doc_id AND s.section_order = l.position - 1 AND s.section_id % 2 = 0""",
+    "link_replace": f"WITH {SQL} SELECT source_doc_id, position, CASE WHEN source_doc_id % 4 = 0 THEN 'extends' ELSE type END AS type FROM links_v WHERE source_doc_id % 4 <> 0 OR position < 3",
+    "section_replace": f"""WITH {SQL},
+o AS (SELECT doc_id, section_order, content, section_id IN (SELECT section_id FROM vectors_v) AS embedded FROM sections_v),
+n AS (SELECT doc_id, section_order, CASE WHEN section_id % 7 = 0 THEN content || '!' ELSE content END AS content FROM sections_v WHERE section_id % 11 <> 0
+  UNION ALL SELECT doc_id, section_order + 50000, content FROM sections_v WHERE section_id % 13 = 0)
+SELECT doc_id, section_order, sha256(content) AS content_hash, embedded FROM o
+WHERE doc_id % 2 <> 0 OR doc_id NOT IN (SELECT doc_id FROM n)
+UNION ALL SELECT n.doc_id, n.section_order, sha256(n.content), coalesce(o.content = n.content AND embedded, false) FROM n LEFT JOIN o USING (doc_id, section_order) WHERE n.doc_id % 2 = 0""",
+    "refs_sync": f"WITH {SQL} SELECT doc_id, file_path, coalesce(hash, '') AS last_synced_hash, false AS is_stale FROM refs_v LEFT JOIN files_v USING (file_path)",
+    "stale_flags": f"WITH {SQL} SELECT doc_id, file_path, is_stale FROM checked_v",
+    "stale_paths": f"WITH {SQL} SELECT file_path FROM checked_v WHERE is_stale AND doc_id = {CENTER}",
+    "skip_unchanged": f"WITH {SQL} SELECT filepath, CASE WHEN id % 6 = 0 THEN 'changed' ELSE body_hash END AS body_hash FROM docs_v WHERE id % 5 = 0 OR id % 6 = 0",
+    "path_guard": f"WITH {SQL} SELECT 'a..b/' || filepath AS filepath FROM docs_v WHERE id % 3 = 2 AND id % 5 <> 0",
+    "change_bursts": "SELECT CAST(user_id AS VARCHAR) AS filepath, arg_max(event_type, (ts, event_id)) AS type FROM events GROUP BY user_id",
 }

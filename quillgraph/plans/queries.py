@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import paths, text
 from quillgraph.operators import fulltext, graph, hybrid, links, pages, staleness, suggest, vector
 from quillgraph.plans import views
-from quillgraph.sources import markdown, store
+from quillgraph.sources import embeddings, markdown, store
 from quillgraph.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +124,56 @@ def fts_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(hybrid.fallback(_corpus(spark, sf), WORDS, TOP), "score")
 
 
+@query
+def hybrid_doc_type(spark: SparkSession, sf: str) -> DataFrame:
+    found = hybrid.search(_corpus(spark, sf), WORDS, views.query_vector(spark, sf), 5, 2, doc_type="guide")
+    return _rounded(found, "score").select("doc_id", "score", "total_found")
+
+
+@query
+def hybrid_link_types(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(hybrid.scores(_corpus(spark, sf), WORDS, views.query_vector(spark, sf), TOP, 2, FILTERED_TYPES), "score", "vec", "prox", "fts")
+
+
+@query
+def hybrid_sections(spark: SparkSession, sf: str) -> DataFrame:
+    found = hybrid.search(_corpus(spark, sf), WORDS, views.query_vector(spark, sf), 20, 2)
+    shown = found.select("doc_id", "filepath", F.posexplode("sections").alias("place", "s")).select("doc_id", "filepath", "place", "s.*")
+    return _rounded(shown, "score").withColumn("place", F.col("place").cast("long"))
+
+
+@query
+def hybrid_linked_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages with their direct neighbours both ways and what they begin with."""
+    corpus = _corpus(spark, sf)
+    found = hybrid.linked_pages(corpus.documents.select(F.col("id").alias("doc_id")), corpus)
+    return found.select("doc_id", "page", "type", "title", "filepath", "summary")
+
+
+@query
+def fulltext_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    s = views.sections(spark, sf)
+    return s.filter(F.col("content").isNotNull()).select("section_id", fulltext.snippet(F.col("content"), WORDS).alias("snippet"))
+
+
+@query
+def title_search(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.by_title(views.documents(spark, sf), "DOC 0_0000").select("id", "title")
+
+
+@query
+def list_pages_of_type(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.list_pages(views.documents(spark, sf), views.links(spark, sf), "guide", "filepath", "desc").select("id", "title", "link_count")
+
+
+@query
+def page_payload(spark: SparkSession, sf: str) -> DataFrame:
+    docs = views.documents(spark, sf)
+    checked = staleness.recheck(views.refs(spark, sf), views.files(spark, sf))
+    found = pages.pages(docs, docs, views.sections(spark, sf), views.links(spark, sf).withColumn("context", F.lit(None).cast("string")), checked)
+    ends = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["doc_id"], x["type"])), ","), F.lit(""))
+    return found.select("doc_id", "title", F.sha2("content", 256).alias("content_hash"), F.coalesce(F.size("sections"), F.lit(0)).cast("long").alias("sections"), ends(F.col("links")).alias("outgoing"), ends(F.col("backlinks")).alias("incoming"), "staleness", F.coalesce(F.array_join("stale_refs", ","), F.lit("")).alias("stale_refs"))
+
 @query
 def page_sections(spark: SparkSession, sf: str) -> DataFrame:
     content = pages.joined_content(views.sections(spark, sf), True)
@@ -277,9 +327,20 @@ def markdown_links(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("filepath", F.explode("links").alias("l")).select("filepath", "l.target", "l.type", "l.position")
 
 
+@query
+def markdown_link_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    found = markdown.parse_files(_linked_files(spark, sf))
+    return found.select("filepath", F.explode("links").alias("l")).filter("l.position = 0").select("filepath", "l.context", "l.section_order")
+
+
 @query
 def markdown_sections(spark: SparkSession, sf: str) -> DataFrame:
-    files = views.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("filepath"), F.col("text").alias("content"))
+    """Generated files with a first, a middling, a tiny and a long section."""
+    i = F.col("doc_id")
+    words = lambda name, n: F.concat(F.repeat(F.lit(f"{name} "), n), F.lit(name))
+    long = F.concat_ws("\n\n", *[words(f"d{k}", F.lit(79)) for k in range(5)])
+    body = F.concat(F.lit("## A\n\n"), words("a", (i % 60).cast("int")), F.lit("\n\n## B\n\n"), words("b", (i % 45).cast("int")), F.lit("\n\n### C\n\ntiny one\n\n#### deep\n\n## D\n\n"), long)
+    files = views.table(spark, sf, "documents").select(i.cast("string").alias("filepath"), body.alias("content"))
     return markdown.parse_files(files).select("filepath", F.explode("sections").alias("s")).select("filepath", "s.section_order", "s.heading", "s.token_count")
 
 
@@ -304,3 +365,126 @@ def snapshot_changes(spark: SparkSession, sf: str) -> DataFrame:
     docs = views.documents(spark, sf)
     before, now = docs.filter(F.col("id") % 4 != 0), docs.filter(F.col("id") % 5 != 0).withColumn("body_hash", F.when(F.col("id") % 3 == 0, "changed").otherwise(F.col("body_hash")))
     return changes.snapshot_changes(before, now)
+
+
+def _embedded(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections with the vectors they have; every third vector is of an older model."""
+    v = views.vectors(spark, sf).select("section_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    model = F.when(F.col("embedding").isNotNull(), F.when(F.col("section_id") % 3 == 0, "old").otherwise("new"))
+    return views.sections(spark, sf).join(v, "section_id", "left").withColumn("embedding_model", model)
+
+
+@query
+def pending_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return store.pending_embeddings(_embedded(spark, sf)).select("section_id", "doc_id")
+
+
+@query
+def other_model_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return store.other_model(_embedded(spark, sf), "new").select("section_id", "doc_id")
+
+
+@query
+def embedding_sink(spark: SparkSession, sf: str) -> DataFrame:
+    new = views.vectors(spark, sf).filter(F.col("section_id") % 2 == 0).select((F.col("section_id") + 1).alias("section_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    found = store.set_embeddings(_embedded(spark, sf), new, "newest")
+    return found.select("section_id", F.size("embedding").alias("dims"), "embedding_model").filter("dims > 0")
+
+
+@query
+def embedding_input(spark: SparkSession, sf: str) -> DataFrame:
+    whole = text.embedding_text(F.col("heading"), F.col("content"))
+    return views.sections(spark, sf).filter(F.col("content").isNotNull()).select("section_id", text.model_input(whole, "e5-small", False, 60).alias("passage"), text.model_input(F.col("content"), "e5-small", True, 40).alias("query"), text.model_input(whole, "bge", False, 50).alias("plain"))
+
+
+@query
+def embedding_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    jobs = views.table(spark, sf, "events").select(F.col("user_id").alias("section_id"), "event_type", F.col("event_id").alias("position"))
+    return embeddings.latest_jobs(jobs)
+
+
+def _index(spark: SparkSession, sf: str) -> DataFrame:
+    return views.vectors(spark, sf).select("section_id", "doc_id", F.get("embedding", 0).cast("double").alias("x"))
+
+
+@query
+def vector_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    index = _index(spark, sf)
+    moved = index.filter(F.col("section_id") % 4 == 0).select(F.col("section_id") * F.when(F.col("doc_id") % 2 == 0, 1).otherwise(-1), "doc_id", F.lit(9.0)).toDF("section_id", "doc_id", "x")
+    return _rounded(vector.latest(index, moved), "x")
+
+
+@query
+def vector_remove(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(vector.without(_index(spark, sf), views.documents(spark, sf).filter(F.col("id") % 3 == 0).select(F.col("id").alias("doc_id")), "doc_id"), "x")
+
+
+@query
+def dangling_links(spark: SparkSession, sf: str) -> DataFrame:
+    return links.dangling(views.links(spark, sf)).select("source_doc_id", "type", "target_title")
+
+
+@query
+def link_sections(spark: SparkSession, sf: str) -> DataFrame:
+    placed = views.links(spark, sf).withColumn("section_order", (F.col("position") - 1).cast("int"))
+    return links.with_sections(placed, views.sections(spark, sf)).select("source_doc_id", "position", "source_section_id")
+
+
+@query
+def link_detach(spark: SparkSession, sf: str) -> DataFrame:
+    placed = views.links(spark, sf).withColumn("source_section_id", F.col("source_doc_id") * views.PLACES + F.col("position") - 1)
+    left = views.sections(spark, sf).filter(F.col("section_id") % 2 == 0)
+    return store.detach_sections(placed, left).select("source_doc_id", "position", "source_section_id")
+
+
+@query
+def link_replace(spark: SparkSession, sf: str) -> DataFrame:
+    old = views.links(spark, sf)
+    parsed = views.documents(spark, sf).filter(F.col("id") % 4 == 0).select("id")
+    new = old.filter((F.col("source_doc_id") % 4 == 0) & (F.col("position") < 3)).withColumn("type", F.lit("extends"))
+    return store.replace_by_document(old, new, parsed, "source_doc_id").select("source_doc_id", "position", "type")
+
+
+@query
+def section_replace(spark: SparkSession, sf: str) -> DataFrame:
+    old = _embedded(spark, sf).withColumn("content_hash", text.content_hash(F.col("content"))).drop("embedding_model")
+    new = _next_sections(spark, sf).drop("section_id").join(views.documents(spark, sf).filter(F.col("id") % 2 == 0).select(F.col("id").alias("doc_id")), "doc_id")
+    found = store.replace_sections(old, new)
+    return found.select("doc_id", "section_order", "content_hash", F.col("embedding").isNotNull().alias("embedded"))
+
+
+@query
+def refs_sync(spark: SparkSession, sf: str) -> DataFrame:
+    read = views.refs(spark, sf).select("doc_id", "file_path").join(views.files(spark, sf), "file_path", "left")
+    return store.synced_refs(read).drop("last_synced_at")
+
+
+@query
+def stale_flags(spark: SparkSession, sf: str) -> DataFrame:
+    refs = views.refs(spark, sf)
+    return staleness.with_flags(refs, staleness.recheck(refs, views.files(spark, sf))).select("doc_id", "file_path", "is_stale")
+
+
+@query
+def stale_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Stale references of the one document that is asked for."""
+    return staleness.stale_paths(staleness.recheck(views.refs(spark, sf), views.files(spark, sf)), CENTER)
+
+
+@query
+def skip_unchanged(spark: SparkSession, sf: str) -> DataFrame:
+    docs = views.documents(spark, sf)
+    new = docs.withColumn("body_hash", F.when(F.col("id") % 6 == 0, "changed").otherwise(F.col("body_hash")))
+    return store.to_process(docs.filter(F.col("id") % 5 != 0), new).select("filepath", "body_hash")
+
+
+@query
+def path_guard(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.concat(F.when(F.col("id") % 3 == 0, "../").when(F.col("id") % 3 == 1, "/").otherwise("a..b/"), F.col("filepath"), F.when(F.col("id") % 5 == 0, "/..").otherwise(""))
+    return changes.inside(views.documents(spark, sf).select(p.alias("filepath")))
+
+
+@query
+def change_bursts(spark: SparkSession, sf: str) -> DataFrame:
+    e = views.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("filepath"), F.col("event_type").alias("type"), F.struct("ts", "event_id").alias("ts"))
+    return changes.last_of_each(e)

@@ -4,9 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from quillgraph.plans import oracles
 
 SF = "/root/testdata/sf0.001"
-GRAPH = sorted(k for k in entry.oracle_sql() if not k.startswith("op") and k != "pipeline")
+GRAPH = sorted(oracles.ORACLES)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
