@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import HashMemo, bound_batches, column, compose, give_back, map_batches, mix, ngram_hashes, record, slices
+from quillgraph.llm.common import HashMemo, bound_batches, column, compose, give_back, map_batches, materialize, mix, ngram_hashes, record, slices
 
-BUCKETS_LOG2 = 20
+BUCKETS_LOG2 = 17
+# So many trusted ids go to every task; a longer list is sorted with the documents.
+BROADCAST_IDS = 2_000_000
 RARE = 20.0
 SPREAD = 4.0
 _MILLION = 1_000_000
@@ -65,10 +67,10 @@ def target_ids(labels: DataFrame) -> DataFrame:
     return good.select("doc_id").distinct()
 
 
-def _trusting(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
-    # A short list of ids is broadcast, a long one sorted with the documents.
+def _trusting(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ids = trusted.select(F.col("doc_id").alias("__qg_id"), F.lit(True).alias("__qg_good"))
-    return docs.select(F.col(f"`{id_col}`").alias("__qg_own"), F.col(f"`{text_col}`").alias("text")).join(ids, F.col("__qg_own") == F.col("__qg_id"), how).select("text", F.col("__qg_good").isNotNull().alias("good"))
+    ids = F.broadcast(ids) if trusted.count() <= BROADCAST_IDS else ids
+    return docs.select(F.col(f"`{id_col}`").alias("__qg_own"), F.col(f"`{text_col}`").alias("text")).join(ids, F.col("__qg_own") == F.col("__qg_id"), "left").select("text", F.col("__qg_good").isNotNull().alias("good"))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
@@ -76,7 +78,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
 
     Without any trusted document all ratios are 0.
     """
-    marked = _trusting(docs, trusted, id_col, text_col, "left")
+    marked = _trusting(docs, trusted, id_col, text_col)
     bound_batches(docs.sparkSession)
     size = 1 << BUCKETS_LOG2
 
@@ -110,19 +112,33 @@ def no_ratios() -> np.ndarray:
     return np.zeros(1 << BUCKETS_LOG2, np.float32)
 
 
-def target_threshold(docs: DataFrame, trusted: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> float:
+def target_threshold(scored: DataFrame, trusted: DataFrame) -> float:
     """``SPREAD`` deviations under the mean ratio of the trusted documents that have words; minus infinity without any."""
-    own = _trusting(docs, trusted, id_col, text_col, "inner").select(F.lit(0).alias("doc_id"), "text")
     llr = F.round(F.col("llr") * _MILLION).cast("long")
-    found = apply_rules(own, ratios, 0.0).filter("n_words > 0").agg(F.count("*").alias("n"), F.sum(llr).alias("one"), F.sum((llr * llr).cast("decimal(38,0)")).alias("two")).first()
+    own = scored.filter("n_words > 0").select("doc_id", llr.alias("x")).join(trusted, "doc_id")
+    found = own.agg(F.count("*").alias("n"), F.sum("x").alias("one"), F.sum((F.col("x") * F.col("x")).cast("decimal(38,0)")).alias("two")).first()
     if not found.n:
         return float("-inf")
     mean = found.one / found.n
     return (mean - SPREAD * max(0.0, float(found.two) / found.n - mean * mean) ** 0.5) / _MILLION
 
 
-def apply_rules(docs: DataFrame, ratios: np.ndarray, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
+def judged(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+
+
+def apply_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rules: ``scores`` with ``kept``.
+
+    Texts are read twice, to count and to score; the threshold is found among the
+    scores, which are written first.
+    """
+    scored = materialize(scores(docs, log_ratios(docs, trusted, id_col, text_col), id_col, text_col), "op4-scores")
+    return judged(scored, target_threshold(scored, trusted))
+
+
+def scores(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr.
 
     A null or empty text has no words, an llr of 0, and fails the base rules.
     """
@@ -138,13 +154,13 @@ def apply_rules(docs: DataFrame, ratios: np.ndarray, threshold: float, id_col: s
                 n = len(words)
                 failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
                 llr = float(table[hashed_ngrams(words)].mean()) if n else 0.0
-                rows.append((n, chars, symbols, lines, repeats, failed, llr, not failed and llr >= threshold))
+                rows.append((n, chars, symbols, lines, repeats, failed, llr))
             cols = list(zip(*rows, strict=True))
-            kinds = (pa.int64(),) * 5 + (pa.bool_(), pa.float64(), pa.bool_())
-            return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"])
+            kinds = (pa.int64(),) * 5 + (pa.bool_(), pa.float64())
+            return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr"])
 
         return work
 
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return map_batches(slim, make, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean")
+    return map_batches(slim, make, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double")

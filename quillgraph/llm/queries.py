@@ -26,14 +26,12 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, trusted = docs_of(spark, sf_dir), quality_rules.target_ids(docs_of(spark, sf_dir, "labels"))
-    ratios = quality_rules.log_ratios(docs, trusted)
-    return quality_rules.apply_rules(docs, ratios, quality_rules.target_threshold(docs, trusted, ratios))
+    return quality_rules.apply_rules(docs_of(spark, sf_dir), quality_rules.target_ids(docs_of(spark, sf_dir, "labels")))
 
 
 def quality_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op4 that SQL can express."""
-    return quality_rules.apply_rules(docs_of(spark, sf_dir), quality_rules.no_ratios(), 0.0).drop("llr", "kept")
+    return quality_rules.scores(docs_of(spark, sf_dir), quality_rules.no_ratios()).drop("llr")
 
 
 def secret_base_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,13 +108,13 @@ def brute_base(t):
 
 
 def test_base_rules(odd, odd_rows, none):
-    got = sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.apply_rules(odd, quality_rules.no_ratios(), 0.0).collect())
+    got = sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.scores(odd, quality_rules.no_ratios()).collect())
     want = []
     for i, t, *_ in odd_rows:
         b = brute_base(t)
         want.append((str(i), *b, b[0] < 50 or 100 * b[4] > 50 * b[0]))
     assert got == sorted(want)
-    assert quality_rules.apply_rules(none, quality_rules.no_ratios(), 0.0).count() == 0
+    assert quality_rules.scores(none, quality_rules.no_ratios()).count() == 0
     memo = HashMemo()
     for t in ("# a|b\n# a|b\n\n \n# a|b", "x y z x y z\vx y z", "   a\x85b"):
         n, *rest = quality_rules.base_counts(t, memo)
@@ -129,8 +129,8 @@ def test_ratios_tell_target_from_junk(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)] + [(101, 0, 0), (1, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     trusted = quality_rules.target_ids(labels)
     ratios = quality_rules.log_ratios(docs, trusted)
-    threshold = quality_rules.target_threshold(docs, trusted, ratios)
-    rows = {r.doc_id: r for r in quality_rules.apply_rules(docs, ratios, threshold).collect()}
+    threshold = quality_rules.target_threshold(quality_rules.scores(docs, ratios), trusted)
+    rows = {r.doc_id: r for r in quality_rules.apply_rules(docs, trusted).collect()}
     # The same numbers from a plain count of words and pairs.
     memo, raw, target = HashMemo(), Counter(), Counter()
     grams = lambda t: quality_rules.hashed_ngrams(memo.array(t.encode().split())).tolist()
@@ -146,7 +146,7 @@ def test_ratios_tell_target_from_junk(spark):
     assert all(rows[i].llr == pytest.approx(v, abs=1e-5) and rows[i].kept == (not rows[i].base_failed and v >= threshold) for i, v in llr.items())
     assert not any(rows[i].kept for i, *_ in junk) and all(rows[i].kept for i in range(0, 60, 2))
     none = quality_rules.target_ids(labels.filter("false"))
-    assert not quality_rules.log_ratios(docs, none).any() and quality_rules.target_threshold(docs, none, ratios) == float("-inf")
+    assert not quality_rules.log_ratios(docs, none).any() and quality_rules.target_threshold(quality_rules.scores(docs, ratios), none) == float("-inf")
 
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
