@@ -17,6 +17,7 @@ word's own entries.  Any other white space takes the general path.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from array import array
@@ -36,7 +37,7 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 CONTRACTIONS = ("'re", "'ve", "'ll")
 
 TOKEN_LIMIT = 1024
-_MEMO, _MEMO_WORD = 200_000, 64
+_MEMO, _MEMO_WORD = 700_000, 64
 _NEVER = 1 << 60
 # White space other than single blanks and single line feeds between words.
 _OTHER_SPACE = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]|  | \n|\n |\n\n|^[ \n]|[ \n]$")
@@ -125,21 +126,18 @@ class PrefixCounter:
 
         The automaton yields the tokens that end at each byte, longest first.
         """
-        counts, last, known, done = [0], [-1], self._stable, -1
+        counts, last, known, done = [0], [-1], self._stable.get, -1
         for end, (length, token) in self.automaton.iter(data.decode("latin-1")):
-            if end == done:
-                continue
-            start = end + 1 - length
-            if start:
-                before = last[start]
-                ok = known.get((before, token))
-                if ok is None:
-                    ok = self.stable(before, token)
-                if not ok:
-                    continue
-            counts.append(counts[start] + 1)
-            last.append(token)
-            done = end
+            if end != done:
+                start = end + 1 - length
+                if start:
+                    pair = last[start], token
+                    ok = known(pair)
+                    if not (self.stable(*pair) if ok is None else ok):
+                        continue
+                counts.append(counts[start] + 1)
+                last.append(token)
+                done = end
         return counts
 
     def _total(self, text: str) -> int:
@@ -152,7 +150,11 @@ class PrefixCounter:
     def _word(self, word: str) -> array:
         """Token counts of all prefixes of a word with what precedes it, stored up to a bounded count."""
         out = array("i", [0])
-        self._fill(word, out, 0)
+        # Letters with a blank in front of them, or none, are one piece.
+        if word.isalpha() or (word[:1] == " " and word[1:].isalpha()):
+            out.extend(self._ends(word))
+        else:
+            self._fill(word, out, 0)
         if len(word) <= _MEMO_WORD:
             if len(self._stored) >= _MEMO:
                 self._stored.clear()
@@ -250,6 +252,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+@functools.lru_cache(2)
+def counter_of(path: str) -> PrefixCounter:
+    """The counter of a vocabulary; a worker keeps it, with the words it has stored, from task to task."""
+    return PrefixCounter(path)
+
+
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = TOKEN_LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, limit_chars for every row.
 
@@ -260,7 +268,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
     path = vocabulary or tokenizer_path()
 
     def make():
-        counter = PrefixCounter(path)
+        counter = counter_of(path)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = column(batch, "text")
@@ -280,7 +288,7 @@ def prefix_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str =
     path = vocabulary or tokenizer_path()
 
     def make():
-        counter = PrefixCounter(path)
+        counter = counter_of(path)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             arrays = [counter.prefixes(t) for t in column(batch, "text")]
