@@ -92,6 +92,37 @@ def search(sections: DataFrame, documents: DataFrame, query: str, limit: int = 1
     return top.orderBy("rank", "section_id").limit(limit).select("section_id", "doc_id", "title", "doc_type", "heading", shown.alias("snippet"), "rank", "total_found")
 
 
+def trigram_index(sections: DataFrame) -> DataFrame:
+    """(gram, section_id): every three characters in a row of heading or content, lower-cased, once for each section."""
+
+    def grams(text: Column) -> Column:
+        chars = F.split(F.lower(F.coalesce(text, F.lit(""))), "")
+        pair = F.zip_with(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 2, F.lit(0))), F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 2, F.lit(0))), lambda a, b: F.concat(a, b))
+        return F.filter(F.zip_with(pair, F.slice(chars, F.lit(3), F.greatest(F.size(chars) - 2, F.lit(0))), lambda a, b: F.concat(a, b)), lambda g: F.length(g) == TRIGRAM)
+
+    both = F.array_distinct(F.concat(grams(F.col("heading")), grams(F.col("content"))))
+    return sections.select("section_id", F.explode(both).alias("gram")).select("gram", "section_id")
+
+
+def synced_index(index: DataFrame, changed: DataFrame, removed: DataFrame) -> DataFrame:
+    """The index after sections were added, changed or removed; only these are read again."""
+    gone = changed.select("section_id").unionByName(removed.select("section_id")).distinct()
+    return index.join(gone, "section_id", "left_anti").select("gram", "section_id").unionByName(trigram_index(changed))
+
+
+def indexed_matches(index: DataFrame, sections: DataFrame, query: str) -> DataFrame:
+    """section_id of the sections that hold every token; candidates come from the index, only they are read."""
+    tokens = query_tokens(query)
+    if not tokens:
+        return sections.select("section_id").filter(F.lit(False))
+    asked = sorted({t[k : k + TRIGRAM] for t in tokens for k in range(len(t) - TRIGRAM + 1)})
+    found = index.filter(F.col("gram").isin(asked)).groupBy("section_id").agg(F.count("*").alias("n")).filter(F.col("n") == len(asked)).select("section_id")
+    near = sections.join(found, "section_id")
+    for t in tokens:
+        near = near.filter(occurrences(F.col("heading"), t) + occurrences(F.col("content"), t) > 0)
+    return near.select("section_id")
+
+
 def document_scores(top: DataFrame) -> DataFrame:
     """Per document the best |rank| over the best |rank| of all; 0 if that is 0."""
     best = top.agg(F.max(F.abs("rank")).alias("best"))

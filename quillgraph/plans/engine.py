@@ -18,7 +18,7 @@ from quillgraph.errors import ConcurrentWriteError, DocumentNotFoundError, Index
 from quillgraph.operators import fulltext, graph, hybrid, pages, staleness, suggest
 from quillgraph.operators import links as linking
 from quillgraph.shipping import ship
-from quillgraph.sources import embeddings, markdown, store
+from quillgraph.sources import embeddings, markdown, migrations, store
 from quillgraph.streaming import changes as streaming
 
 # Limits of the interface (least, most, default).
@@ -53,6 +53,7 @@ class Engine:
         self.provider = provider or embeddings.NoProvider()
         self.config = configuration.load(root) if configuration.exists(root) else configuration.Config()
         self._watch = None
+        self.embedding_events = embeddings.EmbeddingEvents()
 
     # Tables: each write makes new versions of the tables it changes; a pointer file names the current ones.
 
@@ -135,6 +136,7 @@ class Engine:
 
     def initialize(self) -> IndexResult:
         self.create_project()
+        migrations.run(self.spark, self._base(), [migrations.Migration(schema.SCHEMA_VERSION, "tables", lambda: None)])
         return self.reindex(force=True)
 
     def reindex(self, force: bool = False, target_file: str | None = None) -> IndexResult:
@@ -176,7 +178,9 @@ class Engine:
         all_refs = store.replace_by_document(r, synced, ids, "doc_id")
         if self.provider.dims:
             wanted = store.pending_embeddings(all_sections)
-            all_sections = store.set_embeddings(all_sections, embeddings.embed(wanted, self.provider, self.config.embedding.batch_size).filter("error is null"), self.provider.model)
+            vectors = embeddings.embed(wanted, self.provider, self.config.embedding.batch_size).cache()
+            self.embedding_events.report(vectors)
+            all_sections = store.set_embeddings(all_sections, vectors.filter("error is null"), self.provider.model)
         self._commit({"documents": documents, "sections": all_sections, "links": all_links, "refs": all_refs}, seen)
         count = linking.counts(self.table("links")).first()
         result = IndexResult(files.count(), todo.count(), self.table("sections").count(), count.total, count.dangling, deleted)

@@ -273,4 +273,8 @@ UNION ALL SELECT n.doc_id, n.section_order, sha256(n.content), coalesce(o.conten
     "skip_unchanged": f"WITH {SQL} SELECT filepath, CASE WHEN id % 6 = 0 THEN 'changed' ELSE body_hash END AS body_hash FROM docs_v WHERE id % 5 = 0 OR id % 6 = 0",
     "path_guard": f"WITH {SQL} SELECT 'a..b/' || filepath AS filepath FROM docs_v WHERE id % 3 = 2 AND id % 5 <> 0",
     "change_bursts": "SELECT CAST(user_id AS VARCHAR) AS filepath, arg_max(event_type, (ts, event_id)) AS type FROM events GROUP BY user_id",
+    "fulltext_index_matches": f"""WITH {SQL} SELECT section_id FROM sections_v
+WHERE content IS NOT NULL AND (section_id % 10 <> 1 OR section_id % 3 = 0) AND contains(lower(coalesce(heading, '') || chr(10) || content), 'than') AND contains(lower(coalesce(heading, '') || chr(10) || content), 'the')""",
+    "json_sink": f"WITH {SQL} SELECT CAST(to_json({{'id': id, 'title': title, 'doc_type': doc_type}}) AS VARCHAR) AS value FROM docs_v",
+    "schema_version": "SELECT CAST(max(r_regionkey) AS INT) AS version FROM region",
 }

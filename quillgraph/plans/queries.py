@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import paths, text
 from quillgraph.operators import fulltext, graph, hybrid, links, pages, staleness, suggest, vector
 from quillgraph.plans import views
-from quillgraph.sources import embeddings, markdown, store
+from quillgraph.sources import embeddings, markdown, migrations, sinks, store
 from quillgraph.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -488,3 +488,23 @@ def path_guard(spark: SparkSession, sf: str) -> DataFrame:
 def change_bursts(spark: SparkSession, sf: str) -> DataFrame:
     e = views.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("filepath"), F.col("event_type").alias("type"), F.struct("ts", "event_id").alias("ts"))
     return changes.last_of_each(e)
+
+
+@query
+def fulltext_index_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches through the index, after a third of the sections changed and some were removed."""
+    s = views.sections(spark, sf).filter(F.col("content").isNotNull())
+    old = s.withColumn("content", F.when(F.col("section_id") % 3 == 0, F.lit("stale words than the")).otherwise(F.col("content")))
+    index = fulltext.synced_index(fulltext.trigram_index(old), s.filter(F.col("section_id") % 3 == 0), s.filter(F.col("section_id") % 10 == 1))
+    return fulltext.indexed_matches(index, s, WORDS)
+
+
+@query
+def json_sink(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.json_lines(views.documents(spark, sf).select("id", "title", "doc_type"))
+
+
+@query
+def schema_version(spark: SparkSession, sf: str) -> DataFrame:
+    steps = views.table(spark, sf, "region").select(F.col("r_regionkey").cast("int").alias("version"))
+    return migrations.current_version(steps)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
 import zlib
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -58,6 +61,50 @@ def latest_jobs(jobs: DataFrame, position: str = "position") -> DataFrame:
     return jobs.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r")
 
 
+class EmbeddingEvents:
+    """Listeners to what an embedding run reports; their errors are ignored."""
+
+    def __init__(self) -> None:
+        self.listeners: list[Callable[[str, dict], None]] = []
+
+    def on(self, listener: Callable[[str, dict], None]) -> None:
+        self.listeners.append(listener)
+
+    def off(self, listener: Callable[[str, dict], None]) -> None:
+        self.listeners = [x for x in self.listeners if x is not listener]
+
+    def emit(self, event: str, **data) -> None:
+        for listener in self.listeners:
+            with contextlib.suppress(Exception):
+                listener(event, data)
+
+    def report(self, results: DataFrame) -> None:
+        """empty, or progress, an error with the number of failed texts if there are any, and complete."""
+        found = results.agg(F.count("*").alias("n"), F.count("error").alias("failed")).first()
+        if not found.n:
+            self.emit("empty")
+            return
+        self.emit("progress", completed=found.n - found.failed, total=found.n)
+        if found.failed:
+            self.emit("error", failed=found.failed)
+        self.emit("complete", completed=found.n - found.failed, total=found.n)
+
+
+def expand_tilde(path: str) -> str:
+    return os.path.expanduser(path) if path == "~" or path.startswith("~/") else path
+
+
+def is_model_cached(folder: str, model: str) -> bool:
+    """Whether the model's folder is there and holds anything."""
+    where = os.path.join(expand_tilde(folder), *model.split("/"))
+    return os.path.isdir(where) and bool(os.listdir(where))
+
+
+def cache_size(folder: str) -> int:
+    """Bytes of all files below a folder; 0 where there is none."""
+    return sum(os.path.getsize(os.path.join(at, n)) for at, _, names in os.walk(expand_tilde(folder)) for n in names)
+
+
 def embed(sections: DataFrame, provider: EmbeddingProvider, batch: int = BATCH) -> DataFrame:
     """(section_id, embedding, error) of all rows.
 

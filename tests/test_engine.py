@@ -1,16 +1,17 @@
 import hashlib
+import json
 import os
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph import config
+from quillgraph import config, logs
 from quillgraph.errors import ConcurrentWriteError, ConfigNotFoundError, DocumentNotFoundError, InvalidInputError, PathTraversalError
 from quillgraph.functions.paths import contained
 from quillgraph.operators import staleness
 from quillgraph.plans.engine import Engine
-from quillgraph.sources import embeddings, store
+from quillgraph.sources import embeddings, migrations, sinks, store
 from quillgraph.streaming import changes
 
 
@@ -145,6 +146,43 @@ def test_only_named_source_files_are_read(spark, tmp_path):
     assert staleness.source_hashes(spark, refs.filter("false"), root).count() == 0
 
 
+def test_embedding_events_and_caches(spark, tmp_path):
+    events = embeddings.EmbeddingEvents()
+    seen, broken = [], lambda *_: 1 / 0
+    listener = lambda name, data: seen.append((name, data))
+    events.on(broken)
+    events.on(listener)
+    rows = spark.createDataFrame([(1, None), (2, "bad")], "section_id long, error string")
+    events.report(rows)
+    events.report(rows.filter("false"))
+    events.off(listener)
+    events.report(rows)
+    assert seen == [("progress", {"completed": 1, "total": 2}), ("error", {"failed": 1}), ("complete", {"completed": 1, "total": 2}), ("empty", {})]
+    write(str(tmp_path), "a/b/weights.bin", "12345")
+    assert embeddings.is_model_cached(str(tmp_path), "a/b") and not embeddings.is_model_cached(str(tmp_path), "a/c")
+    assert embeddings.cache_size(str(tmp_path)) == 5 and embeddings.cache_size(str(tmp_path / "none")) == 0
+    assert embeddings.expand_tilde("~/x") == os.path.expanduser("~/x") and embeddings.expand_tilde("a~") == "a~"
+
+
+def test_migrations_json_and_logs(spark, tmp_path):
+    base, done = str(tmp_path), []
+    steps = [migrations.Migration(2, "two", lambda: done.append(2)), migrations.Migration(1, "one", lambda: done.append(1))]
+    assert migrations.run(spark, base, steps) == done == [1, 2] and migrations.run(spark, base, steps) == []
+    with pytest.raises(migrations.MigrationError) as error:
+        migrations.run(spark, base, [*steps, migrations.Migration(3, "three", lambda: 1 / 0)])
+    assert error.value.version == 3 and migrations.current_version(migrations.applied(spark, base)).first().version == 2
+    df = spark.createDataFrame([(1, "é"), (2, None)], "a long, b string").orderBy("a")
+    assert json.loads(sinks.printed(df)) == [{"a": 1, "b": "é"}, {"a": 2}]
+    with pytest.raises(ValueError):
+        sinks.printed(df, 1)
+    logs.configure("info", str(tmp_path / "out.log"))
+    logs.logger("x").info("seen")
+    logs.logger("x").debug("not seen")
+    logs.close()
+    text = (tmp_path / "out.log").read_text()
+    assert "seen" in text and "not seen" not in text
+
+
 def test_config(tmp_path):
     root = str(tmp_path)
     with pytest.raises(ConfigNotFoundError):
