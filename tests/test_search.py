@@ -3,7 +3,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph import schema
 from quillgraph.errors import DimensionMismatchError
+from quillgraph.functions import text
 from quillgraph.operators import fulltext, hybrid, vector
 
 SECTIONS = "section_id long, doc_id string, section_order int, heading string, content string"
@@ -41,6 +43,12 @@ def test_rank_is_bm25(texts):
         assert r == pytest.approx(-idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * size[i] / mean)))
 
 
+def test_small_rules(spark):
+    assert fulltext.quoted('a "b" OR') == '"a" """b""" "OR"' and text.pooling("BAAI/bge-m3") == "cls" and text.pooling("e5-large") == "mean"
+    kinds = spark.createDataFrame([("api",), ("odd",), (None,)], "doc_type string")
+    assert sorted(str(r.doc_type) for r in schema.violations(kinds, "doc_type", schema.STORED_DOC_TYPES).collect()) == ["None", "odd"]
+
+
 def test_overlapping_occurrences(spark):
     df = spark.createDataFrame([("aaaa xx",)], "t string").select(fulltext.occurrences(F.col("t"), "aaa").alias("n"))
     assert df.first().n == 2
