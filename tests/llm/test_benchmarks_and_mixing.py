@@ -175,3 +175,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert every - ids[0] == {53, 54} and ids[1] == ids[0] and ids[1] - ids[2] == {50, 51} and ids[2] - ids[3] == {52}
     last = corpus_pipeline.run(spark, sf).toPandas()
     assert set(last.doc_id) == ids[3] and (last.taken > 0).any()
+
+
+def test_pipeline_of_an_empty_table(spark, none, tmp_path):
+    sf = str(tmp_path)
+    none.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], ITEMS).write.parquet(f"{sf}/benchmark.parquet")
+    found = corpus_pipeline.run(spark, sf)
+    assert found.columns == ["doc_id", "size", "source_size", "target", "taken"] and found.count() == 0
+
+
+def test_pipeline_keeps_a_very_long_text(spark, tmp_path):
+    rng = random.Random(13)
+    text = lambda n: "\n".join(" ".join("".join(rng.choice("thelan") for _ in range(rng.randrange(3, 9))) for _ in range(12)) for _ in range(n))
+    item = text(3)
+    long = f"{text(20_000)}\n{item}\n{text(20_000)}"
+    sf = str(tmp_path)
+    make_docs(spark, [(1, long, "en", "a"), (2, text(30), "en", "a"), (3, long, "en", "b"), (4, f"{item}\n{text(1)}", "en", "b")]).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, item)], ITEMS).write.parquet(f"{sf}/benchmark.parquet")
+    got = {r.doc_id: r["size"] for r in corpus_pipeline.run(spark, sf).collect()}
+    # The copy and the contaminated document go; of the long text only the item's words are cut out.
+    assert got == {1: 40_000 * 12, 2: 360}
