@@ -32,8 +32,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 THRESHOLD = 0.3
 # A run of fewer different characters is a rule or a filler.
 MIN_KINDS = 6
-SAMPLE_TEXTS = 500
-RANDOM_SAMPLES = 3000
+SAMPLE_TEXTS = 200
+RANDOM_SAMPLES, NAME_ORDERS = 3000, 150
 # How many unseen steps the share of a character weighs in each context, and what any step is worth at least.
 SMOOTHING, EVEN = 4.0, 0.1
 # Words of names in code and addresses, besides those of the texts.
@@ -145,7 +145,8 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     share = min(1.0, SAMPLE_TEXTS / max(docs.count(), 1))
     words = texts.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select(F.array_distinct(F.regexp_extract_all("t", F.lit("[A-Za-z]{2,}"), F.lit(0))).alias("w"))
     joined = F.zip_with(F.col("w"), F.slice(F.col("w"), F.lit(2), F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.array(a, F.concat_ws("_", a, b), F.concat_ws("-", a, b), F.concat(a, F.initcap(b)), F.concat(F.initcap(a), F.initcap(b)), F.concat_ws("/", a, b), F.upper(F.concat_ws("_", a, b)), F.concat(F.upper(a), F.initcap(b)), F.concat(a, b, F.lit("1"))))
-    named = spark.range(len(NAME_WORDS)).select(F.transform(F.sequence(F.lit(0), F.lit(len(NAME_WORDS) - 1)), lambda k: F.get(F.lit(NAME_WORDS), F.pmod(k * (2 * i + 1) + i, F.lit(len(NAME_WORDS))).cast("int"))).alias("w")).filter("size(w) > 0")
+    # The name words in so many orders, so that each meets many others.
+    named = spark.range(NAME_ORDERS).select(F.transform(F.sequence(F.lit(0), F.lit(len(NAME_WORDS) - 1)), lambda k: F.get(F.lit(NAME_WORDS), F.pmod(k * (2 * i + 1) + i, F.lit(len(NAME_WORDS))).cast("int"))).alias("w")).filter("size(w) > 0")
     plain = words.unionByName(named).select(F.explode(F.flatten(joined)).alias("value"))
     return random.unionByName(made.unionByName(lines).unionByName(plain).filter(F.col("value").isNotNull()).select("value", F.lit(False).alias("random")))
 
