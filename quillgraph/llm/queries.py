@@ -104,6 +104,23 @@ kept AS (
   FROM places LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
+""",
+    "op3_ngram_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+keyed AS (SELECT doc_id, sha256(string_agg(x, chr(10) ORDER BY x)) AS k, count(*) AS n FROM s GROUP BY doc_id),
+members AS (SELECT k, min(doc_id) AS member, min(n) AS n FROM keyed GROUP BY k),
+grams AS MATERIALIZED (SELECT member, n, x FROM members JOIN s ON member = doc_id),
+pairs AS MATERIALIZED (
+  SELECT a.member AS a, b.member AS b FROM grams a JOIN grams b ON a.x = b.x AND a.member <> b.member AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  GROUP BY a.member, b.member HAVING 5 * count(*) >= 4 * (min(a.n) + min(b.n) - count(*))),
+reach(a, b) AS (SELECT member, member FROM members UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+classes AS (SELECT a AS member, min(b) AS class_id FROM reach GROUP BY a),
+links AS (SELECT a AS member, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CASE WHEN d.doc_id IS NOT NULL THEN CAST(coalesce(keyed.n, 0) AS BIGINT) END AS n_shingles
+FROM documents d LEFT JOIN keyed USING (doc_id) LEFT JOIN members USING (k) LEFT JOIN classes USING (member) LEFT JOIN links USING (member)
 """,
     "quality_base_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),

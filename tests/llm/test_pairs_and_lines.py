@@ -231,3 +231,18 @@ def test_templates_of_middling_lines(spark):
     rows = [(i, "\n".join(line() for _ in range(6)), "en", "a") for i in range(60)]
     want = brute_open(rows, line_dedup.MIN_DOCS)
     assert dropped_lines(make_docs(spark, rows)) == want and 60 < len(want) < 330
+
+
+def test_registered_join_equals_sql(spark):
+    import duckdb
+
+    from quillgraph.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(queries.ORACLES["op3_ngram_join"])
+    names = [c[0] for c in want.description]
+    found = queries.QUERIES["op3_ngram_join"](spark, sf)
+    assert sorted(found.columns) == sorted(names)
+    assert sorted(map(tuple, found.select(*names).collect())) == sorted(want.fetchall())
