@@ -121,6 +121,36 @@ classes AS (SELECT a AS member, min(b) AS class_id FROM reach GROUP BY a),
 links AS (SELECT a AS member, count(*) AS n_links FROM pairs GROUP BY a)
 SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CASE WHEN d.doc_id IS NOT NULL THEN CAST(coalesce(keyed.n, 0) AS BIGINT) END AS n_shingles
 FROM documents d LEFT JOIN keyed USING (doc_id) LEFT JOIN members USING (k) LEFT JOIN classes USING (member) LEFT JOIN links USING (member)
+""",
+    "op8_line_dedup": r"""
+WITH lines AS (SELECT doc_id, unnest(range(0, len(l))) AS k, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+words AS (SELECT line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT line FROM lines WHERE doc_id IS NOT NULL)),
+fields AS (SELECT line, w, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS f, list_transform(w, lambda x: CAST(regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]') AND NOT regexp_matches(x, '[0-9]') AS INT)) AS s FROM words WHERE len(w) > 0),
+shown AS (SELECT line, len(w) AS n, CASE WHEN len(w) >= 3 AND len(list_filter(f, lambda x: x <> '<*>')) >= 2 THEN f ELSE w END AS t, s, list_sum(s) AS held FROM fields),
+few AS (SELECT line, array_to_string(list_concat([CAST(n AS VARCHAR)], t), ' ') AS g FROM shown WHERE n < 3),
+opened AS (SELECT *, unnest(range(i, n + 1)) AS j FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM shown WHERE n BETWEEN 3 AND 11)),
+short AS (
+  SELECT DISTINCT line, n || ' ' || array_to_string(list_transform(t, lambda x, p: CASE WHEN p = i OR p = j THEN '<*>' ELSE x END), ' ') AS g FROM opened
+  WHERE j = 0 OR (i = 0 AND held - s[j] >= 2) OR (0 < i AND i < j AND held - s[i] - s[j] >= 3)),
+cut AS (
+  SELECT line, n, held, list_transform(c, lambda x: array_to_string(t[x[1] + 1:x[2]], ' ')) AS p, list_transform(c, lambda x: list_sum(s[x[1] + 1:x[2]])) AS h
+  FROM (SELECT *, [[0, 3], [3, 3 + (n - 3) // 4], [3 + (n - 3) // 4, 3 + (n - 3) * 2 // 4], [3 + (n - 3) * 2 // 4, 3 + (n - 3) * 3 // 4], [3 + (n - 3) * 3 // 4, n]] AS c FROM shown WHERE n >= 12)),
+choices AS (SELECT i, j FROM range(1, 6) a(i), range(1, 6) b(j) WHERE i < j),
+pairs AS (SELECT line, n, p, i, j, held - h[i] - h[j] > 2 AS ok FROM cut, choices),
+single AS (SELECT line, n, p, unnest([0, 2, 3, 4, 5]) AS i FROM (SELECT line, any_value(n) AS n, any_value(p) AS p FROM pairs GROUP BY line HAVING NOT bool_and(ok))),
+long AS (
+  SELECT line, n, p, i, j FROM pairs WHERE ok UNION ALL SELECT line, n, p, i, 0 FROM single),
+keys AS (
+  SELECT line, g FROM few UNION ALL SELECT line, g FROM short
+  UNION ALL SELECT line, n || chr(10) || i || chr(10) || j || chr(10) || array_to_string(list_transform(p, lambda x, q: CASE WHEN q = i OR q = j THEN '<*>' ELSE x END), chr(10)) FROM long),
+hashed AS MATERIALIZED (SELECT line, md5(g) AS g FROM keys),
+again AS (SELECT g, min(doc_id) AS first FROM (SELECT DISTINCT doc_id, g FROM lines JOIN hashed USING (line) WHERE doc_id IS NOT NULL) GROUP BY g HAVING count(*) >= 5),
+gone AS (SELECT DISTINCT doc_id, k FROM lines JOIN hashed USING (line) JOIN again USING (g) WHERE doc_id <> first),
+kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(gone.k) AS n_dropped, string_agg(line, chr(10) ORDER BY lines.k) FILTER (gone.k IS NULL) AS t
+  FROM lines LEFT JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
 """,
     "quality_base_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),

@@ -233,7 +233,8 @@ def test_templates_of_middling_lines(spark):
     assert dropped_lines(make_docs(spark, rows)) == want and 60 < len(want) < 330
 
 
-def test_registered_join_equals_sql(spark):
+@pytest.mark.parametrize("name", ["op3_ngram_join", "op8_line_dedup"])
+def test_registered_query_equals_sql(spark, name):
     import duckdb
 
     from quillgraph.llm import queries
@@ -241,8 +242,8 @@ def test_registered_join_equals_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    want = con.execute(queries.ORACLES["op3_ngram_join"])
+    want = con.execute(queries.ORACLES[name])
     names = [c[0] for c in want.description]
-    found = queries.QUERIES["op3_ngram_join"](spark, sf)
+    found = queries.QUERIES[name](spark, sf)
     assert sorted(found.columns) == sorted(names)
     assert sorted(map(tuple, found.select(*names).collect())) == sorted(want.fetchall())
