@@ -39,6 +39,13 @@ def secret_base_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.base_spans(docs_of(spark, sf_dir)).select("doc_id", *secret_scan.BASE_COLUMNS)
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op5: sizes, targets, and that every document is taken a whole number of times, at most thrice."""
+    size, taken = F.col("size"), F.col("taken")
+    whole = F.when(size == 0, taken == 0).otherwise((taken % size == 0) & taken.between(0, mixing.MAX_REPEATS * size))
+    return mixing.mix(docs_of(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), whole.alias("whole"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs_of(spark, sf_dir))
 
@@ -81,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_decontaminate": op10_decontaminate,
+    "mixing_targets": mixing_targets,
     "quality_base_rules": quality_base_rules,
     "secret_base_patterns": secret_base_patterns,
 }
@@ -151,6 +159,18 @@ kept AS (
   FROM lines LEFT JOIN gone USING (doc_id, k) GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
 FROM documents LEFT JOIN kept USING (doc_id)
+""",
+    "mixing_targets": rf"""
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+weights AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight FROM s),
+filled AS (
+  SELECT *, 3 * source_size / weight AS level, row_number() OVER by_level AS place, sum(source_size) OVER () - sum(3 * source_size) OVER by_level + 3 * source_size AS rest,
+    sum(weight) OVER () - sum(weight) OVER by_level + weight AS share
+  FROM weights WINDOW by_level AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+settled AS (SELECT arg_min(rest / share, place) AS l FROM filled WHERE rest / share <= level)
+SELECT doc_id, size, source_size, round(least(CAST(3 * source_size AS DOUBLE), weight * l), 3) AS target, true AS whole
+FROM d JOIN weights ON d.source IS NOT DISTINCT FROM weights.source, settled
 """,
     "quality_base_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),

@@ -233,7 +233,7 @@ def test_templates_of_middling_lines(spark):
     assert dropped_lines(make_docs(spark, rows)) == want and 60 < len(want) < 330
 
 
-@pytest.mark.parametrize("name", ["op3_ngram_join", "op8_line_dedup"])
+@pytest.mark.parametrize("name", ["op3_ngram_join", "op8_line_dedup", "mixing_targets"])
 def test_registered_query_equals_sql(spark, name):
     import duckdb
 
