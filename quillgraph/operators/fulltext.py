@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the rank: saturation, length weight, floor of the inverse frequency, trigram length.
 K1, B, LEAST_IDF, TRIGRAM = 1.2, 0.75, 1e-6, 3
+# Characters whose trigrams are sorted at once.
+CHARS = 1 << 21
 MARK_OPEN, MARK_CLOSE, ELLIPSIS, SNIPPET_TRIGRAMS = "<mark>", "</mark>", "...", 64
 
 
@@ -92,16 +98,41 @@ def search(sections: DataFrame, documents: DataFrame, query: str, limit: int = 1
     return top.orderBy("rank", "section_id").limit(limit).select("section_id", "doc_id", "title", "doc_type", "heading", shown.alias("snippet"), "rank", "total_found")
 
 
-def trigram_index(sections: DataFrame) -> DataFrame:
-    """(gram, section_id): every three characters in a row of heading or content, lower-cased, once for each section."""
+def _postings(texts: list[str], rows: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The trigrams of texts, where the rows of each begin, and these rows, each once; ``rows`` names the row of a text."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    c = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    whole = text[:-2] == text[2:]
+    keys = pa.array(((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])[whole]).dictionary_encode()
+    n = int(rows.max(initial=0)) + 1
+    both = keys.indices.to_numpy() * np.int64(n) + rows[text[:-2][whole]]
+    both.sort()
+    both = both[np.r_[True, both[1:] != both[:-1]][: len(both)]]
+    names = ["".join(map(chr, (x >> 42, x >> 21 & 0x1FFFFF, x & 0x1FFFFF))) for x in keys.dictionary.to_pylist()]
+    starts = np.searchsorted(both, np.arange(len(names) + 1) * np.int64(n))
+    return names, starts, both - np.repeat(np.arange(len(names)) * np.int64(n), np.diff(starts))
+
+
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """section_id, heading, content, both in lower case, to lists of sections by trigram, for about CHARS characters at a time."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        texts = [[x or "" for x in batch.column(i).to_pylist()] for i in (1, 2)]
+        pieces = np.cumsum([len(h) + len(c) for h, c in zip(*texts, strict=True)]) // CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(pieces)) + 1).tolist(), len(ids)]
+        for x, y in pairwise(cuts):
+            names, starts, rows = _postings(texts[0][x:y] + texts[1][x:y], np.tile(np.arange(y - x), 2))
+            yield pa.record_batch([pa.array(names, pa.string()), pa.ListArray.from_arrays(starts.astype(np.int32), ids[x:y][rows])], names=["gram", "section_ids"])
+
 
-    def grams(text: Column) -> Column:
-        chars = F.split(F.lower(F.coalesce(text, F.lit(""))), "")
-        pair = F.zip_with(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 2, F.lit(0))), F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 2, F.lit(0))), lambda a, b: F.concat(a, b))
-        return F.filter(F.zip_with(pair, F.slice(chars, F.lit(3), F.greatest(F.size(chars) - 2, F.lit(0))), lambda a, b: F.concat(a, b)), lambda g: F.length(g) == TRIGRAM)
+def trigram_index(sections: DataFrame) -> DataFrame:
+    """(gram, section_id): every three characters in a row of heading or content, lower-cased, once for each section.
 
-    both = F.array_distinct(F.concat(grams(F.col("heading")), grams(F.col("content"))))
-    return sections.select("section_id", F.explode(both).alias("gram")).select("gram", "section_id")
+    Lists of sections are made by trigram in each batch; they are taken apart last, so a search opens only those it asks for.
+    """
+    lists = sections.select("section_id", F.lower("heading"), F.lower("content")).mapInArrow(_indexed, "gram string, section_ids array<bigint>")
+    return lists.select("gram", F.explode("section_ids").alias("section_id"))
 
 
 def synced_index(index: DataFrame, changed: DataFrame, removed: DataFrame) -> DataFrame:

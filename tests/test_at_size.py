@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillgraph.operators import vector
+from quillgraph.operators import fulltext, vector
 
 
 def test_vectors_are_sent_to_few_blocks(spark):
@@ -32,3 +32,25 @@ def test_cell_settles_what_single_precision_cannot():
     best = np.lexsort((np.broadcast_to(ids, sims.shape), -np.round(sims, 12)), axis=1)[:, :k]
     assert len(got) == n
     assert all(got[ids[r]] == list(ids[best[r]]) for r in range(n))
+
+
+SECTIONS = [(1, None, "Ab\n\U0001f600cab"), (2, "Head", "ead"), (3, "ab", "c"), (4, None, None), (5, "", "aaaa" * 50), (-6, None, "\u0130x\u00c4\u00df"), (7, "q", "")]
+
+
+def test_trigrams_are_found_once_for_each_section(spark, monkeypatch):
+    df = spark.createDataFrame(SECTIONS, "section_id long, heading string, content string").coalesce(1)
+    low = {r[0]: (r[1] or "", r[2] or "") for r in df.select("section_id", F.lower("heading"), F.lower("content")).collect()}
+    right = sorted((t[k : k + 3], i) for i, both in low.items() for t in both for k in range(len(t) - 2))
+    assert sorted(map(tuple, fulltext.trigram_index(df).collect())) == sorted(set(right))
+    for chars in (1, 7):
+        monkeypatch.setattr(fulltext, "CHARS", chars)
+        batch = pa.record_batch([[*low], [h for h, _ in low.values()], [c for _, c in low.values()]], names=["a", "b", "c"])
+        out = [(r["gram"], i) for x in fulltext._indexed(iter([batch])) for r in x.to_pylist() for i in r["section_ids"]]
+        assert sorted(out) == sorted(set(right))
+
+
+def test_search_opens_only_the_lists_it_asks_for(spark, capsys):
+    df = spark.createDataFrame(SECTIONS, "section_id long, heading string, content string")
+    fulltext.indexed_matches(fulltext.trigram_index(df), df, "ead").explain()
+    plan = capsys.readouterr().out
+    assert plan.index("Generate explode") < plan.index("(gram#") and "= ead" in plan[plan.index("Generate explode") :]
