@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillgraph.operators import fulltext, vector
+from quillgraph.operators import fulltext, suggest, vector
 
 
 def test_vectors_are_sent_to_few_blocks(spark):
@@ -54,3 +54,18 @@ def test_search_opens_only_the_lists_it_asks_for(spark, capsys):
     fulltext.indexed_matches(fulltext.trigram_index(df), df, "ead").explain()
     plan = capsys.readouterr().out
     assert plan.index("Generate explode") < plan.index("(gram#") and "= ead" in plan[plan.index("Generate explode") :]
+
+
+def test_suggestions_move_few_rows_for_each_vector(spark):
+    n = 40_000
+    i = F.col("id")
+    rows = spark.range(n)
+    vectors = rows.select(i.alias("section_id"), i.alias("doc_id"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda d: F.sin(i * d * d * 0.37)).alias("embedding"))
+    sections = rows.select(i.alias("section_id"), F.lit(0).alias("section_order"), F.lit("h").alias("heading"), F.lit("c").alias("content"))
+    links = rows.limit(0).select(i.alias("source_doc_id"), i.alias("target_doc_id"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: (lambda s: [s.apply(k) for k in range(s.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))
+    before = {s.stageId() for s in stages()}
+    suggest.suggest_links(rows.select("id", i.cast("string").alias("title")), sections, vectors, links, 0.5, 5).collect()
+    # Cells, k rows of each section and block, and joins of k rows of each section.
+    assert sum(s.shuffleWriteRecords() for s in stages() if s.stageId() not in before) < (16 + 80 + 60) * n
