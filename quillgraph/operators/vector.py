@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillgraph.errors import DimensionMismatchError
 
 # Most rows and values of a block; blocks that small tables are spread over, and rows worth one.
-BLOCK, VALUES, SPREAD, LEAST, TASKS = 1 << 16, 1 << 22, 8, 2048, 4096
+BLOCK, VALUES, SPREAD, LEAST, TASKS = 1 << 17, 1 << 23, 8, 2048, 4096
 # Pairs that are scored at once; groups of columns whose largest values bound the best of a row.
 PAIRS, GROUPS = 1 << 22, 256
 
@@ -134,30 +134,53 @@ def _cell_topk(k: int):
     return work
 
 
+def _pair_topk(k: int, least: float):
+    """Both ways of a pair of blocks, or a block against itself: the best of each row that asks, as two lists."""
+    one_way = _cell_topk(k)
+
+    def work(cell: pa.Table) -> pa.Table:
+        rows, first = cell.select(["section_id", "embedding"]), cell["first"]
+        if cell["i"][0] == cell["j"][0]:
+            ways = [pa.concat_tables(rows.append_column("as_query", pa.array(np.full(len(rows), x))) for x in (True, False))]
+        else:
+            ways = [rows.append_column("as_query", x) for x in (first, pc.invert(first))]
+        found = pa.concat_tables(map(one_way, ways))
+        # Not less, so that NaN stays; the margin leaves rounding to the caller.
+        found = found.filter(pc.invert(pc.less(found["similarity"], least - 1e-11))).combine_chunks()
+        asks = found["query_id"].to_numpy()
+        start = np.flatnonzero(np.r_[True, asks[1:] != asks[:-1]][: len(asks)])
+        ends = pa.array(np.r_[start, len(asks)], pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(found[x].to_numpy())) for x in ("section_id", "similarity")]
+        return pa.table([pa.array(asks[start]), *lists], names=["query_id", "section_ids", "similarities"])
+
+    return work
+
+
 def _cells(vectors: DataFrame, block: int) -> DataFrame:
-    """section_id, embedding, i, j, as_query: each pair of blocks with the rows of both; every vector is in two cells for each block."""
+    """section_id, embedding, i, j, first: each pair of blocks i <= j with the rows of both; every vector is in one cell for each block."""
     known = vectors.filter(F.col("embedding").isNotNull()).select("section_id", "embedding")
     n, dims = known.agg(F.count("*"), F.max(F.size("embedding"))).first()
     full = max(1, min(block, VALUES // max(1, dims or 1)))
     blocks = max(1, -(-n // full), min(SPREAD, -(-n // LEAST)))
     dealt = known.withColumn("own", F.pmod(F.xxhash64("section_id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    cells = dealt.select("*", every.alias("other")).select("section_id", "embedding", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("as_query")).unionByName(
-        dealt.select("*", every.alias("other")).select("section_id", "embedding", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("as_query"))
-    )
-    # Small rows for much work: as many tasks as cells, not as few as the bytes would fill.
-    return cells.repartition(min(blocks * blocks, TASKS), "i", "j")
+    cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    cells = cells.select("section_id", "embedding", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("first"))
+    # Small rows for much work: more tasks than cells, not as few as the bytes would fill, so that few cells share one.
+    return cells.repartition(min(2 * blocks * (blocks + 1), TASKS), "i", "j")
 
 
-def neighbours(vectors: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
-    """(query_id, section_id, similarity, rank): the k nearest of every section, itself included.
+def neighbours(vectors: DataFrame, k: int = 10, block: int = BLOCK, least: float = -np.inf) -> DataFrame:
+    """(query_id, section_id, similarity, rank): the k nearest of every section, itself included; of them those of similarity ``least`` or more.
 
     Sections are dealt into blocks of at most ``block`` rows and about VALUES
-    values; each pair of blocks meets in one task that keeps k rows per section.
-    What moves is the input times the number of blocks, which stays at SPREAD
-    until blocks are full.  A task finds candidates in single precision, with a
-    margin beyond its error, and compares only these in double precision.
+    values; each pair of blocks meets in one task, which compares both ways and
+    keeps k rows per section.  What moves is the input times the number of
+    blocks, which stays at SPREAD until blocks are full.  A task finds candidates
+    in single precision, with a margin beyond its error, and compares only these
+    in double precision.
     """
-    best = _cells(vectors, block).groupBy("i", "j").applyInArrow(_cell_topk(k), "query_id long, section_id long, similarity double")
+    best = _cells(vectors, block).groupBy("i", "j").applyInArrow(_pair_topk(k, least), "query_id long, section_ids array<long>, similarities array<double>")
+    # Moved as lists, taken apart where they arrive.
+    rows = best.repartition("query_id").select("query_id", F.inline(F.arrays_zip(F.col("section_ids").alias("section_id"), F.col("similarities").alias("similarity"))))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "section_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return rows.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= k) & (F.round("similarity", 12) >= least))

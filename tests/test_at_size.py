@@ -69,3 +69,43 @@ def test_suggestions_move_few_rows_for_each_vector(spark):
     suggest.suggest_links(rows.select("id", i.cast("string").alias("title")), sections, vectors, links, 0.5, 5).collect()
     # Cells, k rows of each section and block, and joins of k rows of each section.
     assert sum(s.shuffleWriteRecords() for s in stages() if s.stageId() not in before) < (16 + 80 + 60) * n
+
+
+def test_blocks_do_not_multiply_with_vectors(spark):
+    for n in (20_000, 600_000):
+        df = spark.range(n).select(F.col("id").alias("section_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+        assert vector._cells(df, vector.BLOCK).count() == vector.SPREAD * n
+
+
+def test_findings_move_to_their_target_and_their_pair_only(spark):
+    n = 20_000
+    i = F.col("id")
+    rows = spark.range(n)
+    vectors = rows.select(i.alias("section_id"), i.alias("doc_id"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda d: F.sin(i * d * d * 0.37)).alias("embedding"))
+    sections = rows.select(i.alias("section_id"), F.lit(0).alias("section_order"), F.lit("h").alias("heading"), F.lit("c").alias("content"))
+    links = rows.limit(0).select(i.alias("source_doc_id"), i.alias("target_doc_id"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: (lambda s: [s.apply(k) for k in range(s.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))
+    before = {s.stageId() for s in stages()}
+    suggest.suggest_links(rows.select("id", i.cast("string").alias("title")), sections, vectors, links, 0.5, 5).collect()
+    # Cells and lists of 8 blocks, twice ten findings, and a few rows for what each section shows.
+    assert sum(s.shuffleWriteRecords() for s in stages() if s.stageId() not in before) < (8 + 8 + 20 + 8) * n
+
+
+def test_pairs_of_blocks_give_both_ways_whole(spark):
+    """Copies, a vector that is not a number, zeros and blocks of unlike size; a least similarity takes nothing from above it."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 4))
+    x[10:30] = x[0]
+    x[40] = np.nan
+    x[50:53] = 0
+    ids = rng.permutation(90) * 7
+    df = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in zip(ids, x, strict=True)], "section_id long, embedding array<double>")
+    sims = np.zeros((90, 90))
+    for d in range(4):
+        sims += np.outer(x[:, d], x[:, d])
+    key = np.where(np.isnan(sims), np.inf, np.round(sims, 12))
+    best = np.lexsort((np.broadcast_to(ids, key.shape), -key), axis=1)[:, :4]
+    for block, least in ((90, -np.inf), (7, -np.inf), (7, 1.5), (90, 1.5)):
+        got = {(r.query_id, r["rank"]): r.section_id for r in vector.neighbours(df, 4, block, least).collect()}
+        assert got == {(int(ids[r]), k + 1): int(ids[c]) for r in range(90) for k, c in enumerate(best[r]) if key[r, c] >= least}
